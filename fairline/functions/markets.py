@@ -182,33 +182,36 @@ def expand_selections(df: DataFrame, lam: str = "lam", mu: str = "mu", rho: str
         m = config.MAX_CORNERS
         cp = "_c_"
         kept = base.columns
-        base = scores.add_score_columns(base, corner_lam, corner_mu, None, m, cp)
+        base = scores.add_score_columns(base, corner_lam, corner_mu, None, m, cp,
+                                        sums_to=int(max(config.CORNER_LINES)))
         base = base.select(*kept, *[
             (scores.total_at_most(cp, int(line)) / F.col(f"{cp}norm"))
             .alias(safe(f"corners{line:g}_under")) for line in config.CORNER_LINES])
     probs = _complete(p)
     graded = home_goals is not None
 
-    def entry(key: str, prob: Column) -> Column:
-        fields = [F.lit(key).alias("key"), F.lit(GROUP_OF[key]).alias("group"),
-                  prob.alias("prob")]
+    # Parallel arrays zipped on the row: compact code, so the whole stage stays compiled.
+    def zipped(chosen: list[str], values: list[Column]) -> Column:
+        parts = {"key": F.array(*[F.lit(k) for k in chosen]),
+                 "group": F.array(*[F.lit(GROUP_OF[k]) for k in chosen]),
+                 "prob": F.array(*values)}
         if graded:
-            fields.append(settle(key, F.col(home_goals), F.col(away_goals),
-                                 F.col(total_corners) if total_corners else None)
-                          .alias("result"))
-        return F.struct(*fields)
+            parts["result"] = F.array(*[
+                settle(k, F.col(home_goals), F.col(away_goals),
+                       F.col(total_corners) if total_corners else None) for k in chosen])
+        return F.arrays_zip(*[v.alias(n) for n, v in parts.items()])
 
-    goals = F.array(*[entry(k, probs[k]) for k in GOAL_KEYS if k in wanted])
-    entries = goals
+    goal_keys = [k for k in GOAL_KEYS if k in wanted]
+    chosen, values = list(goal_keys), [probs[k] for k in goal_keys]
     if corners:
-        corner_entries = []
         for key in CORNER_KEYS:
             if key in wanted:
                 under = F.col(safe(key.replace("_over", "_under")))
-                corner_entries.append(entry(key, 1.0 - under if key.endswith("_over") else under))
-        have = F.col(corner_lam).isNotNull() & ~F.isnan(F.col(corner_lam))
-        entries = F.when(have, F.concat(goals, F.array(*corner_entries))).otherwise(goals)
-    return base.select(*carry, F.inline(entries))
+                chosen.append(key)
+                values.append(1.0 - under if key.endswith("_over") else under)
+    names = ["key", "group", "prob"] + (["result"] if graded else [])
+    out = base.select(*carry, F.inline(zipped(chosen, values)).alias(*names))
+    return out.filter(F.col("prob").isNotNull() & ~F.isnan("prob")) if corners else out
 
 
 def settlements(df: DataFrame, home_goals: str = "home_goals", away_goals: str = "away_goals",

@@ -16,13 +16,18 @@ from fairline import config
 LOG_FACTORIALS = tuple(math.lgamma(k + 1.0) for k in range(64))
 
 
+def _floored(mean: Column) -> Column:
+    """At least 1e-12; null stays null (``greatest`` alone would skip it)."""
+    return F.when(mean < 1e-12, F.lit(1e-12)).otherwise(mean)
+
+
 def poisson_term(log_mean: Column, mean: Column, k: int) -> Column:
     return F.exp(-mean + F.lit(float(k)) * log_mean - F.lit(LOG_FACTORIALS[k]))
 
 
 def poisson_pmf(mean: Column, n: int) -> Column:
     """P(X = 0..n) as an array; the mean is floored at 1e-12."""
-    floored = F.greatest(mean, F.lit(1e-12))
+    floored = _floored(mean)
     table = F.array(*[F.lit(v) for v in LOG_FACTORIALS[:n + 1]])
     return F.transform(
         table, lambda log_fact, k: F.exp(-floored + k.cast("double") * F.ln(floored) - log_fact))
@@ -67,16 +72,18 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def add_score_columns(df: DataFrame, lam: str, mu: str, rho: str | None, n: int,
-                      prefix: str, low_cells: bool = True, clip: bool = True) -> DataFrame:
+                      prefix: str, low_cells: bool = True, clip: bool = True,
+                      sums_to: int | None = None) -> DataFrame:
     """Add pmf terms, cumulative away terms and the low-score corrections as columns.
 
     ``{prefix}h{i}``/``{prefix}a{i}`` are the pmf terms, ``{prefix}sh{i}``/``{prefix}sa{i}``
     their running sums, ``{prefix}d00`` .. ``{prefix}d11`` the Dixon-Coles changes to the
-    four low cells, and ``{prefix}norm`` the mass actually present on the grid.
+    four low cells, and ``{prefix}norm`` the mass actually present on the grid. ``sums_to``
+    keeps only the running sums a caller needs (and the last), which keeps the generated
+    method small enough to be compiled.
     """
     p = prefix
-    df = df.withColumns({f"{p}lam": F.greatest(F.col(lam), F.lit(1e-12)),
-                         f"{p}mu": F.greatest(F.col(mu), F.lit(1e-12))})
+    df = df.withColumns({f"{p}lam": _floored(F.col(lam)), f"{p}mu": _floored(F.col(mu))})
     df = df.withColumns({f"{p}ll": F.ln(F.col(f"{p}lam")), f"{p}lm": F.ln(F.col(f"{p}mu"))})
     terms = {}
     for k in range(n + 1):
@@ -84,7 +91,7 @@ def add_score_columns(df: DataFrame, lam: str, mu: str, rho: str | None, n: int,
         terms[f"{p}a{k}"] = poisson_term(F.col(f"{p}lm"), F.col(f"{p}mu"), k)
     df = df.withColumns(terms)
     running = {}
-    for k in range(n + 1):
+    for k in [*range((n if sums_to is None else sums_to) + 1), n]:
         running[f"{p}sh{k}"] = _sum([F.col(f"{p}h{i}") for i in range(k + 1)])
         running[f"{p}sa{k}"] = _sum([F.col(f"{p}a{i}") for i in range(k + 1)])
     df = df.withColumns(running)

@@ -121,22 +121,22 @@ def distinct_edges(edges: Column) -> Column:
     return F.array_distinct(edges)
 
 
-def bin_index(value: Column, edges: Column, right_closed: bool = False) -> Column:
-    """0-based bin of ``value`` among ``edges`` by binary search.
+def add_bin(df: DataFrame, value: str, edges: str, name: str, right_closed: bool = False
+            ) -> DataFrame:
+    """Add the 0-based bin of ``value`` among ``edges`` (up to 256) by binary search.
 
     Left-closed bins put a value equal to an inner edge into the upper bin; right-closed
-    bins (``right_closed``) into the lower. Values at or beyond the ends take the end bins.
+    bins into the lower. Values beyond the ends take the end bins. The search is a ladder
+    of plain columns, one per halving, so it stays inside whole-stage codegen.
     """
-    top = F.size(edges) - 2
-
-    def halve(span: Column, _: Column) -> Column:
-        mid = F.floor((span["lo"] + span["hi"] + 1) / 2).cast("int")
-        edge = F.get(edges, mid)
-        up = (value > edge) if right_closed else (value >= edge)
-        return F.when(span["lo"] >= span["hi"], span).otherwise(F.struct(
-            F.when(up, mid).otherwise(span["lo"]).alias("lo"),
-            F.when(up, span["hi"]).otherwise(mid - 1).alias("hi")))
-
-    start = F.struct(F.lit(0).alias("lo"), top.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(BIN_STEPS)), start, halve,
-                       lambda span: span["lo"])
+    kept = df.columns
+    v, e = F.col(value), F.col(edges)
+    at = F.lit(0)
+    for step in range(BIN_STEPS - 1, -1, -1):
+        jump = 2 ** step
+        edge = F.get(e, at + jump)
+        up = (edge < v) if right_closed else (edge <= v)
+        df = df.withColumn(f"_at{step}", at + F.when(up, F.lit(jump)).otherwise(F.lit(0)))
+        at = F.col(f"_at{step}")
+    last = F.greatest(F.size(e) - 2, F.lit(0))
+    return df.select(*kept, F.least(at, last).alias(name))

@@ -164,9 +164,9 @@ def goal_probs(src: str) -> str:
     for s in GOAL:
         test = _cell_test(s.key)
         if test:
-            parts.append(f"sum(CASE WHEN {test} THEN c ELSE 0 END) / sum(c) AS {alias(s.key)}")
+            parts.append(f"round(sum(CASE WHEN {test} THEN c ELSE 0 END) / sum(c), 12) AS {alias(s.key)}")
     for side, test in (("home", "i > j"), ("away", "i < j")):
-        parts.append(f"sum(CASE WHEN {test} THEN c ELSE 0 END) / greatest(sum(CASE WHEN i <> j THEN c ELSE 0 END), 1e-12) AS dnb_{side}")
+        parts.append(f"round(sum(CASE WHEN {test} THEN c ELSE 0 END) / greatest(sum(CASE WHEN i <> j THEN c ELSE 0 END), 1e-12), 12) AS dnb_{side}")
     return f"SELECT match_id, {', '.join(parts)} FROM ({grid(src)}) GROUP BY match_id"
 
 
