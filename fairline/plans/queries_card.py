@@ -36,7 +36,9 @@ def picks(spark, sf):
         odds = F.lit(None).cast("double")
         for key, column in _PRICED.items():
             odds = F.when(F.col("key") == key, F.col(column)).otherwise(odds)
-        rows = sel.withColumn("odds", odds).withColumn("prob", F.round("prob", 9)).drop(
+        stored = F.rint(F.col("prob") * F.lit(1e12)) / F.lit(1e12)
+        rows = sel.withColumn("odds", odds).withColumn(
+            "prob", F.floor(stored * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).drop(
             *_PRICED.values())
         rows = rows.withColumns({
             "selection": markets.label_of(F.col("key")),
@@ -55,7 +57,7 @@ SELECT "group", coalesce(max(band_high) FILTER (WHERE run), 0) AS ceiling FROM (
   FROM x_reliability WHERE scope <> 'all')) GROUP BY "group"
 """)
 cte("x_picks", f"""--m
-WITH p AS (SELECT s.match_id, s.date, s.competition, p.home, p.away, p.home || ' v ' || p.away AS match, round(abs(q_over - 0.5) * 0.3, 6) AS implied_resid, s.key, s."group", round(s.prob, 9) AS prob,
+WITH p AS (SELECT s.match_id, s.date, s.competition, p.home, p.away, p.home || ' v ' || p.away AS match, round(abs(q_over - 0.5) * 0.3, 6) AS implied_resid, s.key, s."group", floor(s.prob * 1e9 + 0.5e0) / 1e9 AS prob,
    CASE s.key {' '.join(f"WHEN '{k}' THEN p.{c}" for k, c in _PRICED.items())} END AS odds FROM x_sel s JOIN x_params p USING (match_id) WHERE s.date >= {DAY}),
 b AS (SELECT p.*, r.actual AS a0, r.predicted AS p0, r.n AS n0, g.actual AS a1, g.predicted AS p1, g.n AS n1,
    row_number() OVER (PARTITION BY match_id, key ORDER BY CASE WHEN r.band_low <= prob THEN r.band_low END DESC NULLS LAST, r.band_low, CASE WHEN g.band_low <= prob THEN g.band_low END DESC NULLS LAST, g.band_low) AS rn

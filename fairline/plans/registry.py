@@ -78,7 +78,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     from fairline.plans import (  # noqa: F401  (import registers the queries)
-        queries_card, queries_loading,
+        queries_card, queries_ledger, queries_loading,
         queries_pricing, queries_scoring)
     return QUERIES
 

@@ -175,7 +175,7 @@ cte("x_goal_probs", "--m\n" + goal_probs("x_fused"))
 _C = """list_transform(range(26), lambda k: exp(-{m} + k * ln({m}) - lgamma(k + 1)))"""
 cte("x_corner_probs", f"""--m
 SELECT match_id, {', '.join(
-    f"list_sum(list_transform(range({int(float(s.key[7:].split('_')[0])) + 1}), lambda i: hp[i + 1] * list_sum(ap[1:{int(float(s.key[7:].split('_')[0]))} - i + 1]))) / (list_sum(hp) * list_sum(ap)) AS {alias(s.key)}"
+    f"round(list_sum(list_transform(range({int(float(s.key[7:].split('_')[0])) + 1}), lambda i: hp[i + 1] * list_sum(ap[1:{int(float(s.key[7:].split('_')[0]))} - i + 1]))) / (list_sum(hp) * list_sum(ap)), 12) AS {alias(s.key)}"
     for s in CORNER if s.key.endswith('under'))}
 FROM (SELECT match_id, {_C.format(m='corner_lam')} AS hp, {_C.format(m='corner_mu')} AS ap
       FROM x_params WHERE corner_lam IS NOT NULL)
