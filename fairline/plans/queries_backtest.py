@@ -107,11 +107,11 @@ def backtest_predictions(spark, sf):
 
 
 @query("backtest_bets", "R14 M5 P8 F14", """
-SELECT bet_id, market, outcome, odds, won, round(edge, 6) AS edge, round(pnl, 6) AS pnl FROM x_bets
+SELECT bet_id, market, outcome, odds, won, edge, round(pnl, 6) AS pnl FROM x_bets
 """)
 def backtest_bets(spark, sf):
-    return rounded(bets(spark, sf).select("bet_id", "market", "outcome", "odds", "won", "edge",
-                                          "pnl"), 6)
+    return bets(spark, sf).select("bet_id", "market", "outcome", "odds", "won", "edge",
+                                  F.round("pnl", 6).alias("pnl"))
 
 
 _SUM = "count(*) AS n, count(*) FILTER (WHERE won) AS wins, round(avg(CASE WHEN won THEN 1.0e0 ELSE 0 END), 6) AS win_rate, round(avg(odds), 6) AS avg_odds, round(sum(pnl), 4) AS pnl, count(*) * 10.0e0 AS staked, round(sum(pnl) / (count(*) * 10.0e0) * 100, 6) AS roi, round(avg(edge), 6) AS avg_edge"

@@ -420,7 +420,7 @@ def resolve_names(spark, sf):
 def map_names(spark, sf):
     """Spellings with a letter changed or dropped, mapped back by similarity."""
     p = w.read(spark, sf, "part").select("p_partkey", F.concat_ws(
-        " ", "p_name", F.lower("p_type"), F.lower("p_brand")).alias("name"))
+        " ", "p_name", F.lower("p_brand")).alias("name"))
     target = p.select("name", names.normalize(F.col("name"), {}).alias("key"))
     k = F.col("p_partkey") % 4
     source = p.select(F.when(k == 0, F.upper("name")).when(

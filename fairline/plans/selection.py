@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fairline import config
 from fairline.operators.ordering import best_per_key
 
-RESID_OK = F.coalesce(F.col("implied_resid"), F.lit(0.0)) <= config.MAX_IMPLIED_RESID
+
+def resid_ok() -> Column:
+    """A line the score distribution could not reproduce prices nothing else either."""
+    return F.coalesce(F.col("implied_resid"), F.lit(0.0)) <= config.MAX_IMPLIED_RESID
 
 
 def group_ceilings(reliability: DataFrame, min_n: int = config.MIN_BAND_SAMPLE,
@@ -89,7 +92,7 @@ def shortlist(picks: DataFrame, min_confidence: float = config.MIN_CONFIDENCE,
               limit: int | None = None, min_odds: float | None = None,
               validated_only: bool = True) -> DataFrame:
     """The strongest selections, at most ``per_match`` from a fixture, most likely first."""
-    out = picks.filter(F.col("prob") >= min_confidence).filter(RESID_OK)
+    out = picks.filter(F.col("prob") >= min_confidence).filter(resid_ok())
     if validated_only:
         out = out.filter("validated")
     if groups:
@@ -138,7 +141,7 @@ def best_of_day(picks: DataFrame, odds_min: float = config.BEST_ODDS_MIN,
                 odds_max: float = config.BEST_ODDS_MAX, day: str | None = None,
                 validated_only: bool = True) -> DataFrame:
     """Most reliable selection of one day in a price range (both ends included)."""
-    out = picks.filter(RESID_OK & F.col("fair_odds").between(odds_min, odds_max))
+    out = picks.filter(resid_ok() & F.col("fair_odds").between(odds_min, odds_max))
     if validated_only:
         out = out.filter("validated")
     out = scored(out)
@@ -161,7 +164,7 @@ def daily_slate(picks: DataFrame, days: int = config.PICK_DAYS, bands=config.PIC
     spark = picks.sparkSession
     dim = spark.createDataFrame([(i, n, lo, hi) for i, (n, lo, hi) in enumerate(bands)],
                                 "band_no int, band string, band_low double, band_high double")
-    out = picks.filter(RESID_OK)
+    out = picks.filter(resid_ok())
     if validated_only:
         out = out.filter("validated")
     horizon = match_days(picks, days, validated_only)
@@ -182,7 +185,7 @@ def best_accumulators(picks: DataFrame, sizes: Sequence[int] = range(2, config.A
     spark = picks.sparkSession
     dim = spark.createDataFrame([(s, target_odds ** (1.0 / s)) for s in sizes],
                                 "legs int, min_leg_odds double")
-    out = picks.filter(RESID_OK)
+    out = picks.filter(resid_ok())
     if validated_only:
         out = out.filter("validated")
     horizon = match_days(picks, days, validated_only)
