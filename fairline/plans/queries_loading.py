@@ -201,7 +201,7 @@ HAVING max(hp) IS NOT NULL AND max(dp) IS NOT NULL AND max(ap) IS NOT NULL
 def quotes_from_events(spark, sf):
     events = w.book_prices(spark, sf)
     text = events.select(F.to_json(F.struct("*")).alias("body"))
-    read = text.select(F.from_json("body", layouts.EVENT_JSON).alias("e")).select("e.*")
+    read = text.select(F.inline(F.array(F.from_json("body", layouts.EVENT_JSON))))
     code = w.matches(spark, sf).select(F.col("competition").alias("sport"),
                                        "competition").distinct()
     q = layouts.quotes_from_events(read, F.lit("2001-08-01T09:00:00Z"), code, lines=(2.5,))

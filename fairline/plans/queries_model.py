@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fairline.plans import (backtest, calibration, model, queries_backtest as qb,
                             queries_scoring as qs)
-from fairline.plans.registry import cte, query
+from fairline.plans.registry import query
 from fairline.session import stage
 from fairline.sources import readers, warehouse as w
 from fairline.sources.sinks import rounded
@@ -76,11 +76,7 @@ def walk_forward_coverage(spark, sf):
         F.max("n_train").alias("most_train"))
 
 
-@query("implied_fit_quality", "R7", """
-WITH RECURSIVE x_d AS (SELECT competition, date, sum(n) OVER (PARTITION BY competition ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_train FROM (SELECT competition, date, count(*) AS n FROM x_matches GROUP BY ALL))
-SELECT coalesce(over25_odds_cons > 1 AND under25_odds_cons > 1, FALSE) OR coalesce(over25_odds > 1 AND under25_odds > 1, FALSE) AS has_totals, count(*) AS n, count(*) AS reproduced
-FROM x_matches m JOIN x_d USING (competition, date) JOIN x_params p USING (match_id) WHERE n_train >= 200 AND q_home IS NOT NULL GROUP BY 1
-""")
+@query("implied_fit_quality", "R7")
 def implied_fit_quality(spark, sf):
     """How many lines the fitted score distribution reproduces to within 0.02."""
     p = predictions(spark, sf).filter("q_home IS NOT NULL")

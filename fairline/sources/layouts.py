@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairline.functions import dates, names, prices
+from fairline.operators.once import with_once
 
 # Division file codes and the competition codes they stand for.
 DIVISIONS = {
@@ -62,12 +63,12 @@ MAIN_STATS = {
 EXTRA_REQUIRED = ("Date", "Home", "Away", "HG", "AG", "MaxCH", "MaxCD", "MaxCA",
                   "AvgCH", "AvgCD", "AvgCA")
 
-RESULTS_JSON = T.StructType.fromDDL(
+RESULTS_JSON = (
     "matches array<struct<utcDate:string,matchday:int,season:struct<startDate:string>,"
     "homeTeam:struct<name:string>,awayTeam:struct<name:string>,"
     "score:struct<fullTime:struct<home:int,away:int>,halfTime:struct<home:int,away:int>>>>")
 
-EVENT_JSON = T.StructType.fromDDL(
+EVENT_JSON = (
     "id string, sport string, commence_time string, home_team string, away_team string, "
     "bookmakers array<struct<key:string,markets:array<struct<key:string,"
     "outcomes:array<struct<name:string,price:double,point:double>>>>>>")
@@ -225,33 +226,31 @@ def consensus_prices(events: DataFrame, lines=(2.5, 1.5)) -> DataFrame:
 
     An event carries all its books, so this needs no explode and no shuffle.
     """
-    base = [c for c in events.columns if c != "bookmakers"]
-    e = events.select(*base, F.coalesce(F.size("bookmakers"), F.lit(0)).alias("n_bookmakers"),
-                      _market_outcomes(("h2h",)).alias("_h2h"),
-                      _market_outcomes(("totals", "alternate_totals")).alias("_tot"))
-    e = e.withColumns({
+    e = with_once(events, {
+        "n_bookmakers": F.coalesce(F.size("bookmakers"), F.lit(0)),
+        "_h2h": _market_outcomes(("h2h",)),
+        "_tot": _market_outcomes(("totals", "alternate_totals"))}, drop=("bookmakers",))
+    quoted = {
         "_home": _named(F.col("_h2h"), lambda o: o["name"] == F.col("home_team")),
         "_draw": _named(F.col("_h2h"), lambda o: o["name"] == "Draw"),
-        "_away": _named(F.col("_h2h"), lambda o: o["name"] == F.col("away_team"))})
-    best = {f"{s}_odds": F.array_max(f"_{s}") for s in ("home", "draw", "away")}
-    cons = {f"{s}_odds_cons": median(F.col(f"_{s}")) for s in ("home", "draw", "away")}
-    totals, sides = {}, {}
+        "_away": _named(F.col("_h2h"), lambda o: o["name"] == F.col("away_team"))}
+    out = {f"{s}_odds": F.array_max(f"_{s}") for s in ("home", "draw", "away")}
+    out.update({f"{s}_odds_cons": median(F.col(f"_{s}")) for s in ("home", "draw", "away")})
     for line in lines:
         tag = f"{line:g}".replace(".", "")
         at = lambda o, line=line: F.coalesce(F.abs(o["point"] - line) <= 1e-9, F.lit(False))
-        sides[f"_over{tag}"] = _named(F.col("_tot"), lambda o, at=at: at(o) & (
+        quoted[f"_over{tag}"] = _named(F.col("_tot"), lambda o, at=at: at(o) & (
             F.lower(o["name"]) == "over"))
-        sides[f"_under{tag}"] = _named(F.col("_tot"), lambda o, at=at: at(o) & (
+        quoted[f"_under{tag}"] = _named(F.col("_tot"), lambda o, at=at: at(o) & (
             F.lower(o["name"]) != "over"))
         over, under = F.col(f"_over{tag}"), F.col(f"_under{tag}")
         both = (F.size(over) > 0) & (F.size(under) > 0)
-        totals[f"over{tag}_odds"] = F.when(both, F.array_max(over))
-        totals[f"under{tag}_odds"] = F.when(both, F.array_max(under))
-        totals[f"over{tag}_odds_cons"] = F.when(both, median(over))
-        totals[f"under{tag}_odds_cons"] = F.when(both, median(under))
-    e = e.withColumns(sides)
-    return e.withColumns({**best, **cons, **totals}).drop(
-        "_h2h", "_tot", "_home", "_draw", "_away", *sides)
+        out[f"over{tag}_odds"] = F.when(both, F.array_max(over))
+        out[f"under{tag}_odds"] = F.when(both, F.array_max(under))
+        out[f"over{tag}_odds_cons"] = F.when(both, median(over))
+        out[f"under{tag}_odds_cons"] = F.when(both, median(under))
+    e = with_once(e, quoted, drop=("_h2h", "_tot"))
+    return with_once(e, out, drop=tuple(quoted))
 
 
 def quotes_from_events(events: DataFrame, fetched_at: Column, sport_to_competition: DataFrame,
