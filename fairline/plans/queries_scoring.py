@@ -258,6 +258,8 @@ FROM x_vals v LEFT JOIN lo ON lo.k = v.fold AND lo."group" = v."group" ASOF LEFT
 
 @query("calibrator_knots", "R8 W11 S17", """
 SELECT CAST(k AS INTEGER) AS k, "group", CAST(i - 1 AS INTEGER) AS knot, round(x, 6) AS x, round(fit, 6) AS y FROM x_knots
+UNION ALL SELECT CAST(t.k AS INTEGER), t."group", CAST(v.knot AS INTEGER), v.x, v.x FROM (SELECT DISTINCT k, "group" FROM x_train) t CROSS JOIN (VALUES (0, 0.0e0), (1, 1.0e0)) v(knot, x)
+WHERE NOT EXISTS (SELECT 1 FROM x_knots n WHERE n.k = t.k AND n."group" = t."group")
 """)
 def calibrator_knots(spark, sf):
     values = graded(spark, sf)
