@@ -197,10 +197,6 @@ def legs_to_json(legs: Column) -> Column:
     return F.to_json(legs.cast(LEG_SCHEMA), {"ignoreNullFields": "false"})
 
 
-def first_of_batch(picks: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return best_per_key(picks, keys, order)
-
-
 def record(ledger: DataFrame, picks: DataFrame, keys: Sequence[str], today: Column,
            order: Sequence[Column]) -> DataFrame:
     """New rows only: nothing for a key already in the book, nothing for a day gone by."""

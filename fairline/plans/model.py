@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from fairline import config
 from fairline.functions import fits, markets, prices
 from fairline.operators import matching
-from fairline.plans import selection
 from fairline.plans.backtest import day_number
 from fairline.session import ship_package
 
