@@ -2,60 +2,77 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairline.llm.text import KEY, TEXT, Memo, key_type, keyed, map_batches, once, read_source, slices, specials, tokenizer
+from fairline.llm.bpe import END, Merges
+from fairline.llm.text import (KEY, STABLE, TEXT, byte_letters, key_type, keyed, map_batches, once, read_source, specials,
+                               tokenizer)
 from fairline.session import stage
 
 SIZE = 2048
 END_ID = 0
 #: Ranks within a length are counted per bucket, so that no length is ordered in one task.
 BUCKETS = 256
-MEMO_CHUNKS = 600_000
 
 
 class WordIds:
-    """Ids of texts from the tokenizers library; chunks between white space are encoded once."""
+    """Ids of texts under a word-end vocabulary, equal to the tokenizers library's.
+
+    Texts are normalised, a mark is put after each pre-token, and a faster library merges the bytes with the
+    mark as the word end. It merges by joined bytes where the vocabulary names pairs; :meth:`same_merges` proves
+    offline that no other pair ever stands where a token could be made. Texts with newer letters, the mark
+    or special strings, and vocabularies without that proof, go through the tokenizers library.
+    """
+
+    MARK = "\0"
 
     def __init__(self, source: str):
-        self.tok = tokenizer(source)
-        self.special = [s.encode() for s in specials(self.tok)]
-        if not self.special:
-            raise ValueError("the vocabulary needs a special token to part chunks with")
-        self.border, self.border_id = self.special[0].decode(), self.tok.token_to_id(self.special[0].decode())
-        self.memo = Memo(self.learn, MEMO_CHUNKS)
-
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """White space parts pre-tokens, and so does a special token: chunks with one between them are encoded many at a time."""
-        together = b" ".join(chunks)
-        marked = [c for c in chunks if any(s in c for s in self.special)] if any(s in together for s in self.special) else []
-        out = {c: np.array(self.tok.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in marked}
-        rest = [c for c in chunks if c not in out] if out else chunks
-        some = [rest[i:i + 2000] for i in range(0, len(rest), 2000)]
-        texts = [(b"".join([c + self.special[0] for c in part])).decode() for part in some]
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(found), np.dtype("<u4"))
-        ends = np.flatnonzero(ids == self.border_id)
-        if len(ends) != len(rest):
-            raise RuntimeError("chunks and borders differ in number")
-        data, ends = ids.tobytes(), (ends * 4).tolist()
-        start = 0
-        for c, end in zip(rest, ends, strict=True):
-            out[c] = data[start:end]
-            start = end + 4
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [t.encode().split() for t in texts]
-        get = self.memo.of(lists).__getitem__
-        return [b"".join(map(get, chunks)) for chunks in lists]
+        self.tok, self.special = tokenizer(source), specials(tokenizer(source))
+        model = json.loads(source)["model"]
+        back = {c: b for b, c in byte_letters().items()}
+        ranks = {bytes(map(back.__getitem__, t.removesuffix(END))) + (self.MARK.encode() if t.endswith(END) else b""): i
+                 for t, i in model["vocab"].items() if t not in self.special}
+        ordered = all(model["vocab"][a + b] == 512 + n for n, (a, b) in enumerate(model["merges"]))
+        sound = ordered and len(ranks) == 512 + len(model["merges"]) and self.same_merges(Merges(source))
+        self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}) if sound else None
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        (split, *_) = [p["pattern"]["Regex"] for p in json.loads(source)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        spaces = r"\t-\r \x85\xa0"
+        pattern = split.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", spaces)
+        self.pattern, self.spaces = re.compile(f"({pattern})[{spaces}]*"), "\t\n\v\f\r \x85\xa0"
+
+    @staticmethod
+    def same_merges(merges: Merges) -> bool:
+        """Whether each token comes from its letters, and no two tokens that spell a third without being its parts stay apart."""
+        for token in merges.ids:
+            if token not in merges.parts:
+                continue
+            if not merges.stands(token):
+                return False
+            end = END if token.endswith(END) else ""
+            body = token.removesuffix(END)
+            for i in range(1, len(body)):
+                pair = body[:i], body[i:] + end
+                if (pair != merges.parts[token] and pair[0] in merges.ids and pair[1] in merges.ids
+                        and merges.stands(pair[0]) and merges.stands(pair[1]) and merges.apart(*pair)):
+                    return False
+        return True
+
+    def encode(self, text: str) -> list[int]:
+        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if not self.fast or self.MARK in text or any(s in text for s in self.special) or not text.isascii() and STABLE.search(plain):
+            return self.tok.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(self.pattern.sub(r"\1" + self.MARK, plain.lower().strip(self.spaces)))
 
 
 def cut(rows: DataFrame, vocabulary: str, size: int = SIZE, key: str = KEY, text: str = TEXT, end_id: int = END_ID) -> DataFrame:
@@ -64,16 +81,13 @@ def cut(rows: DataFrame, vocabulary: str, size: int = SIZE, key: str = KEY, text
     A text's ids are the library's, without added tokens, and ``end_id`` after them; only longer ones are cut.
     """
     shared = rows.sparkSession.sparkContext.broadcast(read_source(vocabulary))
-    last = np.array([end_id], "<u4").tobytes()
 
     def step(batches):
         made = once("word ids", shared.value, lambda: WordIds(shared.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             at, piece, start, length, crc = [], [], [], [], []
-            coded = (x for a, b in slices(texts) for x in made.encode(texts[a:b]))
-            for row, ids in enumerate(coded):
-                data = memoryview(ids + last)
+            for row, text_ in enumerate(batch.column(1).to_pylist()):
+                data = memoryview(np.array([*made.encode(text_), end_id], "<u4").tobytes())
                 for n, begin in enumerate(range(0, len(data), 4 * size)):
                     part = data[begin:begin + 4 * size]
                     at.append(row)
