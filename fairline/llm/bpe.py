@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import itertools
 import json
 import re
 import unicodedata
 from array import array
 
-import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from fairline.llm.text import (KEY, MEMO_ENTRIES, STABLE, TEXT, Memo, byte_letters, key_type, keyed, map_batches, once,
+from fairline.llm.text import (KEY, STABLE, TEXT, byte_letters, key_type, keyed, map_batches, once,
                                read_source, slices, specials, tokenizer)
 
 END = "</w>"
 NEVER = 1 << 60
 MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 400_000
 
 
 class Merges:
@@ -130,96 +129,82 @@ class Merges:
         raise ValueError(f"no token ends {path!r}")
 
 
-class Codec:
-    """Chunks of texts to ids and back; chunks and words seen before are looked up.
+class Words:
+    """The pre-tokens of a word-end vocabulary: text in composed form and lower case, parted by the file's pattern.
 
-    With ``walk`` words go through the trie and ids come with their decoded text; without it words
-    are encoded by the library and only ids are kept.
+    For characters below U+0250, whose classes no Unicode version has changed, the pattern is written out for
+    the faster pattern library; texts with others are left to the tokenizers library.
     """
 
-    def __init__(self, source: str, walk: bool = True):
-        self.tok, self.walk = tokenizer(source), walk
-        self.merges = Merges(source) if walk else None
-        (split, *_) = [p for p in json.loads(source)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        pattern = split["pattern"]["Regex"]
-        self.any = regex.compile(pattern + r"|\n")
-        self.ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") + r"|\n", re.ASCII)
-        self.special, self.letters = [s.encode() for s in specials(self.tok)], byte_letters()
-        self.back = {c: b for b, c in self.letters.items()}
+    def __init__(self, source: str):
+        self.tok = tokenizer(source)
+        (split, *_) = [p["pattern"]["Regex"] for p in json.loads(source)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        spaces = r"\t-\r \x85\xa0"
+        pattern = split.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", spaces)
+        self.one, self.spaced, self.ends = re.compile(pattern), re.compile(f"({pattern})[{spaces}]*"), "\t\n\v\f\r \x85\xa0"
+        self.back = {c: b for b, c in byte_letters().items()}
+
+    def plain(self, text: str) -> str | None:
+        """The normalised text, or None if the tokenizers library has to part it."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return None if STABLE.search(text) else text.lower()
+
+    def of(self, text: str) -> list[str]:
+        if (plain := self.plain(text)) is not None:
+            return self.one.findall(plain)
+        found = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))
+        return [bytes(map(self.back.__getitem__, w)).decode() for w, _ in found]
+
+    def marked(self, text: str, mark: str) -> str | None:
+        """The text's pre-tokens with a mark after each; None as in :meth:`plain`."""
+        plain = self.plain(text)
+        return None if plain is None else self.spaced.sub(r"\1" + mark, plain.strip(self.ends))
+
+
+class Codec:
+    """Texts to ids and their decoding; words seen before are looked up, new ones go through the trie."""
+
+    def __init__(self, source: str):
+        self.tok, self.merges, self.words = tokenizer(source), Merges(source), Words(source)
+        self.special, self.letters = specials(self.tok), byte_letters()
         self.names = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.ends = np.zeros(max(self.names) + 1, bool)
-        self.ends[[i for i, t in self.names.items() if t.endswith(END)]] = True
-        self.memo, self.word_memo = Memo(self.learn), Memo(self.learn_words, 2 * MEMO_ENTRIES)
-
-    def value(self, ids: list[int]):
-        data = array("I", ids).tobytes()
-        return (data, self.decode(ids).encode()) if self.walk else data
-
-    def joined(self, values: list):
-        """The values of consecutive pieces as one; pieces without ids add nothing."""
-        if not self.walk:
-            return b"".join(values)
-        values = [p for p in values if p[0]]
-        return b"".join([p[0] for p in values]), b" ".join([p[1] for p in values])
-
-    def learn_words(self, words: list[str]) -> dict:
-        if not self.walk:
-            return self.by_library(words)
-        spelt = {w if w.isalpha() and w.isascii() else "".join(map(self.letters.__getitem__, w.encode())): w for w in words}
-        return {spelt[s]: self.value(ids) for s, ids in self.merges.encode_words(list(spelt)).items()}
-
-    def by_library(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, many in one text: each word ends with its word-end token."""
-        texts = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.dtype("<u4"))
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(ends) != len(words):
-            raise RuntimeError("words and their last tokens differ in number")
-        data, ends = ids.tobytes(), ends.tolist()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-
-    def learn(self, chunks: list[bytes]) -> dict:
-        out = {}
-        together = b"\n".join(chunks)
-        if marks := [s for s in self.special if s in together]:
-            for raw in chunks:
-                if any(s in raw for s in marks):
-                    out[raw] = self.value(self.tok.encode(raw.decode(), add_special_tokens=False).ids)
-        split = {}
-        if STABLE.search(together.decode()):  # newer letters: the library's own tables decide
-            for raw in chunks:
-                if raw not in out and STABLE.search(chunk := raw.decode()):
-                    found = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
-                    split[raw] = [bytes(map(self.back.__getitem__, w)).decode() for w, _ in found]
-        rest = [raw for raw in chunks if raw not in out and raw not in split] if out or split else chunks
-        for some, pattern in (([r for r in rest if r.isascii()], self.ascii), ([r for r in rest if not r.isascii()], self.any)):
-            text = b"".join([r + b"\n" for r in some]).decode()
-            each, words = iter(some), []
-            for word in pattern.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower()):
-                if word == "\n":
-                    split[next(each)] = words
-                    words = []
-                else:
-                    words.append(word)
-        known = self.word_memo.of(list(split.values()))
-        for raw, words in split.items():
-            out[raw] = known[words[0]] if len(words) == 1 else self.joined([known[w] for w in words])
-        return out
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, bytes] = {}
+
+    def learn(self, lists: list[list[str]]) -> None:
+        words = set().union(*lists)
+        new = words.difference(self.ids_of)
+        if len(self.ids_of) + len(new) > MEMO_WORDS and self.ids_of:
+            self.ids_of, self.text_of, new = {}, {}, words
+        spelt = {w if w.isalpha() and w.isascii() else "".join(map(self.letters.__getitem__, w.encode())): w for w in new}
+        for s, ids in self.merges.encode_words(list(spelt)).items():
+            self.ids_of[spelt[s]] = array("I", ids).tobytes()
+            self.text_of[spelt[s]] = self.decode(ids).encode()
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens' strings with a space between; unknown ids are left out."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
-    def encode(self, texts: list[str]) -> list:
-        """Little-endian ids of each text; with ``walk``, (ids, decoded text)."""
-        lists = [t.encode().split() for t in texts]
-        get = self.memo.of(lists).__getitem__
-        return [self.joined(list(map(get, chunks))) for chunks in lists]
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(little-endian ids, decoded text) of each text; those with special strings are parted by the library."""
+        marked = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        lists = [[] if i in marked else self.words.of(t) for i, t in enumerate(texts)]
+        gc.disable()  # many small objects without cycles
+        self.learn(lists)
+        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+        out = [(b"".join(map(ids_of, x)), b" ".join(map(text_of, x))) for x in lists]
+        gc.enable()
+        for i in marked:
+            ids = self.tok.encode(texts[i], add_special_tokens=False).ids
+            out[i] = (array("I", ids).tobytes(), self.decode(ids).encode())
+        return out
 
 
-def codec(source: str, walk: bool = True) -> Codec:
-    return once(f"codec {walk}", source, lambda: Codec(source, walk))
+def codec(source: str) -> Codec:
+    return once("codec", source, lambda: Codec(source))
 
 
 def encode(rows: DataFrame, vocabulary: str, key: str = KEY, text: str = TEXT, digests: bool = False) -> DataFrame:
@@ -232,7 +217,7 @@ def encode(rows: DataFrame, vocabulary: str, key: str = KEY, text: str = TEXT, d
     place of the values, so that neither need leave the task.  Null and empty texts give no ids and
     empty text; repeated rows each give a row, null keys stay null, other columns are ignored.
 
-    Pre-tokens never cross white space, so a text's encoding is that of its chunks in turn. Distinct
+    Merges never leave a pre-token, so a text's encoding is that of its words in turn. The distinct
     new words of a slice of texts go through one trie walk. No shuffle; memory is a slice and a memo.
     """
     shared = rows.sparkSession.sparkContext.broadcast(read_source(vocabulary))

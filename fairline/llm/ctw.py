@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.text import KEY, TEXT, key_type, map_batches
+from fairline.llm.text import KEY, TEXT, key_type, map_batches, once
 from fairline.session import ship_package, stage
 
 DEPTH = 5
 #: Contexts of up to this many bytes are few enough to be weighted on the driver: 65,793 contexts at most.
 TOP = 2
 EDGE = 255  # stands around every text; UTF-8 never holds it
-BLOCK_BYTES = 24_000_000
-PART_BYTES = 2_000_000
+BLOCK_BYTES = 40_000_000
+PART_BYTES = 1_000_000
 WORD_FLAG = 1 << 63
 LN2 = np.log(2.0)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -144,48 +140,77 @@ def lowered(text: str) -> bytes:
     return text.encode().translate(LOWER)
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """64-bit names of words, the highest bit set (gram keys leave it clear)."""
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return (hashed | np.uint64(WORD_FLAG)).view(np.int64)
+class Words:
+    """64-bit names of the words in a padded array of texts, the highest bit set (gram keys leave it clear).
+
+    A name is the sum of its bytes' random numbers times powers of an odd base, from one running sum over the array.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.letter = np.random.default_rng(64).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32, EDGE]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.power) < n:
+            steps = [np.full(n, b, np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64))]
+            for s in steps:
+                s[0] = 1
+            self.power, self.inverse = (np.multiply.accumulate(s) for s in steps)
+
+    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word starts, its name)."""
+        self.grow(len(data))
+        inside = ~self.space[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # texts stand between edges: starts and ends by turns
+        starts, stops = edges[::2], edges[1::2]
+        sums = np.cumsum(self.letter[data] * self.power[:len(data)], dtype=np.uint64)
+        names = (sums[stops - 1] - sums[starts - 1]) * self.inverse[starts]
+        names = (names ^ (names >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return starts, ((names ^ (names >> np.uint64(29))) | np.uint64(WORD_FLAG)).view(np.int64)
 
 
 class Gathered:
     """What one block of texts holds: its distinct words and byte grams, with their counts in training texts."""
 
     def __init__(self, depth: int):
-        self.depth, self.words, self.keys, self.counts = depth, Counter(), [], []
+        self.depth, self.words, self.keys, self.counts = depth, once("ctw words", "", Words), [], []
         self.held = 0
 
     def add(self, texts: list[bytes], train: list[bool]) -> None:
         for a, b in parts_of(texts):
-            part, learn = texts[a:b], train[a:b]
-            for t, use in zip(part, learn, strict=True):
-                if use:
-                    self.words.update(t.split())
-                else:
-                    self.words.update(dict.fromkeys(t.split(), 0))
-            data, places, sizes = padded(part, self.depth)
+            data, places, sizes = padded(texts[a:b], self.depth)
+            learn = np.array(train[a:b])
+            starts, names = self.words.of(data)
             grams = grams_of(data, self.depth)[places]
-            use = np.repeat(np.array(learn), sizes)
-            for some, counted in ((grams[use], True), (grams[~use], False)):
-                keys, counts = np.unique(some, return_counts=True)
-                self.keys.append(keys)
-                self.counts.append(counts if counted else np.zeros(len(keys), np.int64))
-                self.held += len(keys)
-            if self.held > 4_000_000:
+            for some, use in ((grams, np.repeat(learn, sizes)), (names, learn[owners(starts, sizes, self.depth)])):
+                for part, counted in ((some[use], True), (some[~use], False)):
+                    keys, counts = np.unique(part, return_counts=True)
+                    self.keys.append(keys)
+                    self.counts.append(counts if counted else np.zeros(len(keys), np.int64))
+                    self.held += len(keys)
+            if self.held > 1_500_000:
                 self.merge()
+                self.held = 0
 
     def merge(self) -> None:
-        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        self.keys, self.counts, self.held = [keys], [np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)], 0
+        keys = np.concatenate(self.keys)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.keys, self.counts = [keys[first]], [np.add.reduceat(np.concatenate(self.counts)[order], first)]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.keys:
-            self.merge()
-        words = list(self.words)
-        counts = np.fromiter(self.words.values(), np.int64, len(words))
-        return np.concatenate([*self.keys, word_keys(words)]), np.concatenate([*self.counts, counts])
+        self.merge()
+        return self.keys[0], self.counts[0]
+
+
+def owners(starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """The text of each place in a padded array."""
+    return np.searchsorted(np.cumsum(sizes + depth), starts, side="right")
 
 
 def labelled(rows: DataFrame, key: str, text: str, train: str) -> DataFrame:
@@ -198,26 +223,35 @@ def labelled(rows: DataFrame, key: str, text: str, train: str) -> DataFrame:
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int")
-    return chosen.select(block.alias("block"), "key", "text", "train").repartition(n, "block")
+    return chosen.select(block.alias("block"), "key", "text", "train").repartition(n, "block").sortWithinPartitions("block")
 
 
 def gather(blocks: DataFrame, depth: int) -> DataFrame:
     """(block, item, n): the distinct words and grams of each block with their training counts."""
+    def answer(block: int, found: Gathered):
+        items, counts = found.result()
+        for i in range(0, len(items), 200_000):
+            n = len(items[i:i + 200_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(items[i:i + n]), pa.array(counts[i:i + n])],
+                                             names=["block", "item", "n"])
+
     def step(batches):
-        held: dict[int, Gathered] = {}
+        now, found = None, None  # a file holds its blocks one after the other
         for batch in batches:
-            ids, texts, train = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, b in enumerate(ids):
-                by.setdefault(b, []).append(i)
-            for b, at in by.items():
-                held.setdefault(b, Gathered(depth)).add([lowered(texts[i]) for i in at], [train[i] for i in at])
-        for b, found in held.items():
-            items, counts = found.result()
-            for i in range(0, len(items), 200_000):
-                n = len(items[i:i + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b, np.int32)), pa.array(items[i:i + n]), pa.array(counts[i:i + n])],
-                                                 names=["block", "item", "n"])
+            ids = batch.column(0).to_numpy()
+            borders = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                if a == b:
+                    continue
+                if now != ids[a]:
+                    if found:
+                        yield from answer(now, found)
+                    now, found = ids[a], Gathered(depth)
+                for i in range(a, b, 500):
+                    part = batch.slice(i, min(500, b - i))
+                    found.add([lowered(t) for t in part.column(2).to_pylist()], part.column(3).to_pylist())
+        if found:
+            yield from answer(now, found)
 
     return map_batches(blocks, step, "block int, item bigint, n bigint")
 
@@ -295,6 +329,10 @@ class Table:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            if len(keys):
+                raise RuntimeError("a block was read with other rows than it was gathered from")
+            return self.values[:0]
         found = self.slot[self.at(keys)]
         wrong = np.flatnonzero(self.keys[found] != keys)
         if len(wrong):
@@ -338,28 +376,20 @@ def score(rows: DataFrame, train: str, key: str = KEY, text: str = TEXT, depth:
         order = np.argsort(items["item"].to_numpy())
         keys, found = items["item"].to_numpy()[order], items["value"].to_numpy()[order]
         first = int(np.searchsorted(keys, 0))
-        grams = Table(keys[first:], found[first:]) if first < len(keys) else None
-        vocabulary = (keys[:first], found[:first])
-        memo: dict[bytes, float] = {}
+        vocabulary, grams = Table(keys[:first], found[:first]), Table(keys[first:], found[first:])
+        named = once("ctw words", "", Words)
         bodies = [lowered(t) for t in texts["text"]]
         n_tokens, n_known = np.zeros(len(bodies), np.int64), np.zeros(len(bodies), np.int64)
         base, model_score = np.zeros(len(bodies)), np.zeros(len(bodies))
         for a, b in parts_of(bodies):
-            lists = [t.split() for t in bodies[a:b]]
-            new = list(set().union(*lists).difference(memo))
-            at = np.searchsorted(vocabulary[0], word_keys(new))
-            if len(new) and ((at >= len(vocabulary[0])).any() or (vocabulary[0][at] != word_keys(new)).any()):
-                raise RuntimeError("a block was read with other rows than it was gathered from")
-            memo.update(zip(new, vocabulary[1][at].tolist(), strict=True))
-            sizes = np.array([len(x) for x in lists], np.int64)
-            counts = np.fromiter(map(memo.__getitem__, chain.from_iterable(lists)), np.float64, int(sizes.sum()))
-            owner = np.repeat(np.arange(b - a), sizes)
-            n_tokens[a:b] = sizes + 1
+            data, places, sizes = padded(bodies[a:b], depth)
+            starts, names = named.of(data)
+            owner, counts = owners(starts, sizes, depth), vocabulary[names]
+            n_tokens[a:b] = np.bincount(owner, minlength=b - a) + 1
             n_known[a:b] = np.bincount(owner, counts > 0, b - a).astype(np.int64) + (ends > 0)
             base[a:b] = np.bincount(owner, np.log10(counts + 1) + floor, b - a) + end_score
-            data, places, coded = padded(bodies[a:b], depth)
             value = grams[grams_of(data, depth)[places]]
-            model_score[a:b] = np.bincount(np.repeat(np.arange(b - a), coded), value, b - a)
+            model_score[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes), value, b - a)
         return pd.DataFrame({key: texts["key"], "train": texts["train"], "n_tokens": n_tokens, "n_known": n_known,
                              "train_tokens": np.full(len(bodies), n_all, np.int64), "base_score": base, "score": model_score})
 

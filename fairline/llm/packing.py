@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 import zlib
 from collections import Counter
 
@@ -14,9 +12,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairline.llm.bpe import END, Merges
-from fairline.llm.text import (KEY, STABLE, TEXT, byte_letters, key_type, keyed, map_batches, once, read_source, specials,
-                               tokenizer)
+from fairline.llm.bpe import END, Merges, Words
+from fairline.llm.text import KEY, TEXT, byte_letters, key_type, keyed, map_batches, once, read_source, specials, tokenizer
 from fairline.session import stage
 
 SIZE = 2048
@@ -45,11 +42,7 @@ class WordIds:
         ordered = all(model["vocab"][a + b] == 512 + n for n, (a, b) in enumerate(model["merges"]))
         sound = ordered and len(ranks) == 512 + len(model["merges"]) and self.same_merges(Merges(source))
         self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}) if sound else None
-        kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-        (split, *_) = [p["pattern"]["Regex"] for p in json.loads(source)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        spaces = r"\t-\r \x85\xa0"
-        pattern = split.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", spaces)
-        self.pattern, self.spaces = re.compile(f"({pattern})[{spaces}]*"), "\t\n\v\f\r \x85\xa0"
+        self.words = Words(source)
 
     @staticmethod
     def same_merges(merges: Merges) -> bool:
@@ -69,10 +62,10 @@ class WordIds:
         return True
 
     def encode(self, text: str) -> list[int]:
-        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-        if not self.fast or self.MARK in text or any(s in text for s in self.special) or not text.isascii() and STABLE.search(plain):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(self.pattern.sub(r"\1" + self.MARK, plain.lower().strip(self.spaces)))
+        marked = None
+        if self.fast and self.MARK not in text and not any(s in text for s in self.special):
+            marked = self.words.marked(text, self.MARK)
+        return self.tok.encode(text, add_special_tokens=False).ids if marked is None else self.fast.encode_ordinary(marked)
 
 
 def cut(rows: DataFrame, vocabulary: str, size: int = SIZE, key: str = KEY, text: str = TEXT, end_id: int = END_ID) -> DataFrame:
