@@ -15,7 +15,7 @@ DEPTH = 5
 #: Contexts of up to this many bytes are few enough to be weighted on the driver: 65,793 contexts at most.
 TOP = 2
 EDGE = 255  # stands around every text; UTF-8 never holds it
-BLOCK_BYTES = 40_000_000
+BLOCK_BYTES = 100_000_000
 PART_BYTES = 1_000_000
 WORD_FLAG = 1 << 63
 LN2 = np.log(2.0)
@@ -214,16 +214,15 @@ def owners(starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
 
 
 def labelled(rows: DataFrame, key: str, text: str, train: str) -> DataFrame:
-    """(block, key, text, train): rows in blocks of about ``BLOCK_BYTES``, the same block for a row in every reading.
+    """(block, key, text, train): a block is what lies together in the table, about ``BLOCK_BYTES`` of text.
 
-    Few large blocks keep the tables of distinct words and grams small. The block comes from the row itself.
+    Large blocks keep the tables of distinct words and grams small. A table is split alike in every reading, so a
+    row has the same block each time; if it ever had not, :class:`Table` would miss its words and stop the job.
     """
     chosen = rows.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
                          F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("train"))
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int")
-    return chosen.select(block.alias("block"), "key", "text", "train").repartition(n, "block").sortWithinPartitions("block")
+    return chosen.coalesce(max(1, -(-int(size) // BLOCK_BYTES))).select(F.spark_partition_id().alias("block"), "key", "text", "train")
 
 
 def gather(blocks: DataFrame, depth: int) -> DataFrame:
@@ -346,18 +345,20 @@ class Table:
 def score(rows: DataFrame, train: str, key: str = KEY, text: str = TEXT, depth: int = DEPTH) -> DataFrame:
     """Scores of every whole text under models learned from the rows where ``train`` is true: a row per row.
 
-    General: the reference has no prose records, so ``rows`` is any frame with a key, a text and the mark.
+    General: the reference has no prose records, so ``rows`` is any frame with a key, a text and the mark; it is read
+    twice and has to be a table (stage other frames first).
     Returns the key, ``train``, ``n_tokens`` (words and one end), ``n_known`` (tokens that training saw), ``train_tokens``, ``base_score``
     (log10, add-one unigrams of words) and ``score``: log10 of the probability that the context trees give
     the text's bytes and its end. Letters A-Z count as lower case. Null and empty texts are an end alone; a null mark is false; repeated rows each
     give a row and count each in training, null keys stay null, other columns are ignored. Without a training row every bit
-    costs one bit.
+    costs one bit. An empty frame gives an empty frame.
 
     Each of a byte's eight bits has a tree of contexts of 0 to ``depth`` bytes; counts make Krichevsky-Trofimov estimates, and each node
     mixes its own with its children's, one half each, so every depth has a say. Texts are gathered in blocks: a block sends each distinct
-    word and gram once and gets its totals and values back, so nothing that grows with the corpus is broadcast, and what meets in one task is a block.
+    word and gram once and gets its totals and values back, so nothing that grows with the corpus is broadcast. The answers
+    of a block come before its texts, which then stream by.
     """
-    blocks = stage(labelled(rows, key, text, train), "ctw-blocks")
+    blocks = labelled(rows, key, text, train)
     counted = stage(gather(blocks, depth), "ctw-items")
     totals = counted.groupBy("item").agg(F.sum("n").alias("total"))
     is_word = F.col("item") < 0
@@ -367,32 +368,59 @@ def score(rows: DataFrame, train: str, key: str = KEY, text: str = TEXT, depth:
     n_all, v_all = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     values = gram_scores(totals.where(~is_word), depth)
     model = values.unionByName(words.select("item", F.col("total").cast("double").alias("value")))
-    answered = counted.select("item", "block").join(model, "item").select("block", "item", "value")
+    answered = counted.select("item", "block").join(model, "item").select("block", F.lit(0).alias("kind"), "item", "value")
     kind = key_type(rows, key)
+    meeting = (answered.unionByName(blocks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+               .select("block", "kind", "item", "value", "key", "text", "train").repartition("block").sortWithinPartitions("block", "kind"))
     floor = np.log10(1.0 / (n_all + v_all + 1.0))
     end_score = float(np.log10(ends + 1.0) + floor)
 
-    def cogroup(texts: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(items["item"].to_numpy())
-        keys, found = items["item"].to_numpy()[order], items["value"].to_numpy()[order]
-        first = int(np.searchsorted(keys, 0))
-        vocabulary, grams = Table(keys[:first], found[:first]), Table(keys[first:], found[first:])
+    def step(batches):
         named = once("ctw words", "", Words)
-        bodies = [lowered(t) for t in texts["text"]]
-        n_tokens, n_known = np.zeros(len(bodies), np.int64), np.zeros(len(bodies), np.int64)
-        base, model_score = np.zeros(len(bodies)), np.zeros(len(bodies))
-        for a, b in parts_of(bodies):
-            data, places, sizes = padded(bodies[a:b], depth)
-            starts, names = named.of(data)
-            owner, counts = owners(starts, sizes, depth), vocabulary[names]
-            n_tokens[a:b] = np.bincount(owner, minlength=b - a) + 1
-            n_known[a:b] = np.bincount(owner, counts > 0, b - a).astype(np.int64) + (ends > 0)
-            base[a:b] = np.bincount(owner, np.log10(counts + 1) + floor, b - a) + end_score
-            value = grams[grams_of(data, depth)[places]]
-            model_score[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes), value, b - a)
-        return pd.DataFrame({key: texts["key"], "train": texts["train"], "n_tokens": n_tokens, "n_known": n_known,
-                             "train_tokens": np.full(len(bodies), n_all, np.int64), "base_score": base, "score": model_score})
-
-    ship_package(rows.sparkSession)
-    return (blocks.groupBy("block").cogroup(answered.groupBy("block"))
-            .applyInPandas(cogroup, f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))
+        now, items, values_, vocabulary, grams = None, [], [], None, None
+        for batch in batches:
+            ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            borders = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1), len(ids)]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                if a == b:
+                    continue
+                if now != ids[a]:
+                    now, items, values_, vocabulary, grams = ids[a], [], [], None, None
+                if kinds[a] == 0:
+                    items.append(batch.column(2).slice(a, b - a).to_numpy())
+                    values_.append(batch.column(3).slice(a, b - a).to_numpy())
+                    continue
+                if grams is None:
+                    vocabulary, grams = tables(items, values_)
+                    items, values_ = [], []
+                for i in range(a, b, 500):
+                    part = batch.slice(i, min(500, b - i))
+                    texts = [lowered(t) for t in part.column(5).to_pylist()]
+                    found = [text_scores(texts[x:y], vocabulary, grams, named, depth) for x, y in parts_of(texts)]
+                    tokens, seen, base, model_score = (np.concatenate(x) for x in zip(*found, strict=True))
+                    n = len(texts)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(4), part.column(6), pa.array(tokens + 1), pa.array(seen + (ends > 0)), pa.array(np.full(n, n_all, np.int64)),
+                         pa.array(base + floor * (tokens + 0.0) + end_score), pa.array(model_score)],
+                        names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return map_batches(meeting, step, f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def tables(items: list[np.ndarray], values: list[np.ndarray]) -> tuple[Table, Table]:
+    """Look-ups of a block's words and grams."""
+    keys, found = np.concatenate([np.zeros(0, np.int64), *items]), np.concatenate([np.zeros(0), *values])
+    order = np.argsort(keys)
+    keys, found = keys[order], found[order]
+    first = int(np.searchsorted(keys, 0))
+    return Table(keys[:first], found[:first]), Table(keys[first:], found[first:])
+
+
+def text_scores(texts: list[bytes], vocabulary: Table, grams: Table, named: Words, depth: int) -> tuple[np.ndarray, ...]:
+    """Of each text: words, known words, the sum of log10(count + 1) of its words, and the trees' log10 probability."""
+    data, places, sizes = padded(texts, depth)
+    starts, names = named.of(data)
+    owner, counts, n = owners(starts, sizes, depth), vocabulary[names], len(texts)
+    value = grams[grams_of(data, depth)[places]]
+    return (np.bincount(owner, minlength=n), np.bincount(owner, counts > 0, n).astype(np.int64), np.bincount(owner, np.log10(counts + 1), n),
+            np.bincount(np.repeat(np.arange(n), sizes), value, n))
