@@ -18,6 +18,8 @@ BIN_STEPS = 8
 
 
 def steps(bins: int) -> list[float]:
+    if not 0 < bins < 2 ** BIN_STEPS:
+        raise ValueError(f"between 1 and {2 ** BIN_STEPS - 1} bins can be told apart")
     return [i / bins for i in range(bins + 1)]
 
 

@@ -202,11 +202,12 @@ def apply_filters(bets: DataFrame, max_edge: float | None = None,
 def summary(bets: DataFrame, by: Sequence[str] = (), stake: float = config.BACKTEST_STAKE
             ) -> DataFrame:
     n = F.count(F.lit(1))
+    pnl = F.sum(F.col("pnl").cast("decimal(18, 4)")).cast("double")  # exact, in any order
     return bets.groupBy(*by).agg(
         n.alias("n"), F.count_if("won").alias("wins"),
         F.avg(F.col("won").cast("double")).alias("win_rate"), F.avg("odds").alias("avg_odds"),
-        F.sum("pnl").alias("pnl"), (n * F.lit(stake)).alias("staked"),
-        (F.sum("pnl") / (n * F.lit(stake)) * 100.0).alias("roi"), F.avg("edge").alias("avg_edge"))
+        pnl.alias("pnl"), (n * F.lit(stake)).alias("staked"),
+        (pnl / (n * F.lit(stake)) * 100.0).alias("roi"), F.avg("edge").alias("avg_edge"))
 
 
 def verdict(n: Column, low: Column, high: Column) -> Column:
@@ -228,6 +229,8 @@ def bootstrap(units: DataFrame, unit: str, by: Sequence[str] = (), samples: int
     ``units`` has pnl and n.
     """
     by = list(by)
+    if samples < 4 or samples % 4:
+        raise ValueError("the number of replicates has to be a multiple of four")
     if blocks:
         units = units.groupBy(*by, (F.abs(F.xxhash64(unit)) % blocks).cast("string")
                               .alias(unit)).agg(F.sum("pnl").alias("pnl"), F.sum("n").alias("n"))

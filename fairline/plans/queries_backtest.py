@@ -114,7 +114,7 @@ def backtest_bets(spark, sf):
                                   F.round("pnl", 6).alias("pnl"))
 
 
-_SUM = "count(*) AS n, count(*) FILTER (WHERE won) AS wins, round(avg(CASE WHEN won THEN 1.0e0 ELSE 0 END), 6) AS win_rate, round(avg(odds), 6) AS avg_odds, round(sum(pnl), 4) AS pnl, count(*) * 10.0e0 AS staked, round(sum(pnl) / (count(*) * 10.0e0) * 100, 6) AS roi, round(avg(edge), 6) AS avg_edge"
+_SUM = "count(*) AS n, count(*) FILTER (WHERE won) AS wins, round(avg(CASE WHEN won THEN 1.0e0 ELSE 0 END), 6) AS win_rate, round(avg(odds), 6) AS avg_odds, round(CAST(sum(CAST(pnl AS DECIMAL(18, 4))) AS DOUBLE), 4) AS pnl, count(*) * 10.0e0 AS staked, round(CAST(sum(CAST(pnl AS DECIMAL(18, 4))) AS DOUBLE) / (count(*) * 10.0e0) * 100, 6) AS roi, round(avg(edge), 6) AS avg_edge"
 
 
 def tidy(df):
@@ -304,7 +304,7 @@ def findings(spark, sf):
 @query("insights", "R17 K7 A17 A19 A22 A23 A24 A25 A26 R16")
 def all_findings(spark, sf):
     """All findings, most decisive first, with their evidence rows as text."""
-    out = insights.ranked(findings(spark, sf), 10)
+    out = insights.ranked(findings(spark, sf))
     return out.select("id", "state", "stat", F.to_json("evidence").alias("evidence"))
 
 
