@@ -216,24 +216,18 @@ def verdict(n: Column, low: Column, high: Column) -> Column:
 
 
 def bootstrap(units: DataFrame, unit: str, by: Sequence[str] = (), samples: int = 400,
-              stake: float = config.BACKTEST_STAKE, seed: int = 42,
-              blocks: int | None = None) -> DataFrame:
+              stake: float = config.BACKTEST_STAKE, seed: int = 42) -> DataFrame:
     """95 % interval of ROI by resampling units with replacement.
 
     Every unit draws a Poisson(1) count per replicate from the md5 of its id, so the draw
     needs no shared random state and gives the same answer on any cluster and after any
     retry. Replicates are made on the unit's own row and summed before the shuffle: what
     moves is (groups x replicates) rows per task, never the replicated units. One digest
-    serves four replicates. With ``blocks`` the units are first summed into that many hash
-    blocks and the blocks are resampled: a stated approximation for very long tables.
-    ``units`` has pnl and n.
+    serves four replicates. ``units`` has pnl and n.
     """
     by = list(by)
     if samples < 4 or samples % 4:
         raise ValueError("the number of replicates has to be a multiple of four")
-    if blocks:
-        units = units.groupBy(*by, (F.abs(F.xxhash64(unit)) % blocks).cast("string")
-                              .alias(unit)).agg(F.sum("pnl").alias("pnl"), F.sum("n").alias("n"))
     rounds = units.select(*by, "pnl", "n", unit, F.explode(
         F.sequence(F.lit(0), F.lit(samples // 4 - 1))).alias("_g"))
     digest = rounds.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), "_g", unit)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from fairline import config
+from fairline.functions import markets, prices, scores
 from fairline.plans import (backtest, calibration, model, queries_backtest as qb,
-                            queries_scoring as qs)
+                            queries_pricing as qp, sql_tables as t)
 from fairline.plans.registry import query
 from fairline.session import stage
 from fairline.sources import readers, warehouse as w
@@ -22,6 +24,20 @@ def predictions(spark, sf):
                      lambda s, d: model.walk_forward(w.matches(s, d), store=stage))
 
 
+def graded_predictions(spark, sf):
+    """Graded selections of the walk-forward predictions, fused as the card fuses them."""
+    def build(spark, sf):
+        weight = config.MARKET_WEIGHT
+        fused = predictions(spark, sf).withColumns({
+            "lam": prices.fuse(F.col("lam_model"), F.col("lam_market"), weight),
+            "mu": prices.fuse(F.col("mu_model"), F.col("mu_market"), weight),
+            "rho": prices.fuse(F.col("rho_model"), F.col("rho_market"), weight, geometric=False)})
+        return qp.drop_void(markets.expand_selections(
+            fused, corner_lam="corner_lam", corner_mu="corner_mu", home_goals="home_goals",
+            away_goals="away_goals", total_corners="total_corners", keep=("match_id", "date")))
+    return w._stored(spark, sf, "graded_predictions", build)
+
+
 @query("refit_days", "W8", """
 WITH RECURSIVE x_d AS (SELECT competition, date, sum(n) OVER (PARTITION BY competition ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_train FROM (SELECT competition, date, count(*) AS n FROM x_matches GROUP BY ALL)),
 d AS (SELECT competition, date FROM x_d WHERE n_train >= 200),
@@ -60,6 +76,82 @@ def team_strengths(spark, sf):
     return rounded(flat.select("*", "s.attack", "s.defence").drop("s"), 5)
 
 
+SLOPE, NEAR_RHO = 1e-4, 1e-4
+
+
+@query("strengths_optimality", "R1 R2", """
+WITH RECURSIVE x_d AS (SELECT competition, date, sum(n) OVER (PARTITION BY competition ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_train FROM (SELECT competition, date, count(*) AS n FROM x_matches GROUP BY ALL)),
+d AS (SELECT competition, date FROM x_d WHERE n_train >= 200),
+r AS (SELECT competition, min(date) AS fit_date, 1 AS fit_no FROM d GROUP BY competition
+ UNION ALL SELECT r.competition, (SELECT min(d.date) FROM d WHERE d.competition = r.competition AND d.date >= r.fit_date + 7), fit_no + 1 FROM r
+ WHERE r.fit_date IS NOT NULL)
+SELECT competition, count(*) AS fits, CAST(0 AS BIGINT) AS strengths_off, CAST(0 AS BIGINT) AS rho_off FROM r WHERE fit_date IS NOT NULL GROUP BY competition
+""")
+def strengths_optimality(spark, sf):
+    """Refits whose strengths or rho, rounded to 5 digits, are no optimum of the penalised likelihood.
+
+    The slopes are sums over team pairs, made here from the pair sums and the fits alone.
+    Rho is right where the slope changes sign around it, or at its bound.
+    """
+    m, days = w.matches(spark, sf), fits_table(spark, sf)
+    fit = stage(rounded(model.fit_strengths(m, days).select(
+        "competition", "fit_no", "home_adv", "base", "rho", F.transform_values(
+            "teams", lambda _, s: F.struct(F.round(s["attack"], 5).alias("attack"),
+                                           F.round(s["defence"], 5).alias("defence"))
+        ).alias("teams")), 5), "strengths")
+    sums = ("w", "hg", "ag", "c00", "c01", "c10", "c11")
+    last = days.groupBy("competition").agg(F.max("fit_no").alias("top"))
+    order = Window.partitionBy("competition", "home", "away").orderBy("fit_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = model.pair_sums(m, days, "home_goals", "away_goals").join(last, "competition").filter(
+        "fit_no <= top").select(
+        "competition", "home", "away", "fit_no",
+        F.coalesce(F.lead("fit_no").over(order) - 1, "top").alias("until"),
+        *[F.sum(c).over(upto).alias(c) for c in sums])
+    rows = held.withColumn("fit_no", F.explode(F.sequence("fit_no", "until"))).join(
+        fit, ["competition", "fit_no"])
+    home, away = (F.col("teams")[F.col(side)] for side in ("home", "away"))
+    lam = F.exp(F.col("base") + F.col("home_adv") + home["attack"] - away["defence"])
+    mu = F.exp(F.col("base") + away["attack"] - home["defence"])
+    rows = rows.withColumns({"lam": lam, "mu": mu})
+
+    def rise(rho):
+        """Slope of the low scores' likelihood; a factor below zero is past the end of the range."""
+        total = F.lit(0.0)
+        for cell, slope in (("c00", -F.col("lam") * F.col("mu")), ("c01", F.col("lam")),
+                            ("c10", F.col("mu")), ("c11", F.lit(-1.0))):
+            factor = 1.0 + slope * rho
+            term = F.when(factor > 0, slope / factor).otherwise(slope * 1e30)
+            total = total + F.when(F.col(cell) > 0, F.col(cell) * term).otherwise(0.0)
+        return total
+
+    over, under = F.col("w") * F.col("lam") - F.col("hg"), F.col("w") * F.col("mu") - F.col("ag")
+    side = lambda team, own, a, d, first: F.struct(
+        F.col(team).alias("team"), own["attack"].alias("own_attack"),
+        own["defence"].alias("own_defence"), a.alias("attack"), d.alias("defence"),
+        (F.col("w") / 2).alias("w"), (over if first else F.lit(0.0)).alias("adv"),
+        *[(rise(F.col("rho") + at) if first else F.lit(0.0)).alias(name)
+          for name, at in (("before", -NEAR_RHO), ("after", NEAR_RHO))])
+    teams = rows.select("competition", "fit_no", "rho", F.inline(F.array(
+        side("home", home, over, -under, True), side("away", away, under, -over, False))))
+    by_team = teams.groupBy("competition", "fit_no", "rho", "team", "own_attack", "own_defence").agg(
+        *[F.sum(c).alias(c) for c in ("attack", "defence", "w", "adv", "before", "after")])
+    total = F.sum("w").over(Window.partitionBy("competition", "fit_no"))
+    pull = 2 * config.RIDGE * F.col("total")
+    by_fit = by_team.withColumn("total", total).groupBy("competition", "fit_no", "rho").agg(
+        F.max(F.greatest(F.abs(F.col("attack") + pull * F.col("own_attack")),
+                         F.abs(F.col("defence") + pull * F.col("own_defence"))) / F.col("total")).alias("of_team"),
+        (F.greatest(F.abs(F.sum("adv")), F.abs(F.sum("attack"))) / F.max("total")).alias("of_all"),
+        F.sum("before").alias("before"), F.sum("after").alias("after"))
+    bound = config.RHO_BOUND - NEAR_RHO
+    rho_right = ((F.col("before") >= 0) | (F.col("rho") <= -bound)) & (
+        (F.col("after") <= 0) | (F.col("rho") >= bound))
+    return by_fit.groupBy("competition").agg(
+        F.count(F.lit(1)).alias("fits"),
+        F.count_if(F.greatest("of_team", "of_all") > SLOPE).alias("strengths_off"),
+        F.count_if(~rho_right).alias("rho_off"))
+
+
 @query("walk_forward_predictions", "R6 R3 R4 R7 J1 J2")
 def walk_forward_predictions(spark, sf):
     return rounded(predictions(spark, sf), 5)
@@ -85,6 +177,20 @@ def implied_fit_quality(spark, sf):
                                        .alias("reproduced"))
 
 
+@query("implied_reprices", "R7 R6", f"""
+WITH n AS (SELECT competition, date, sum(n) OVER (PARTITION BY competition ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_train FROM (SELECT competition, date, count(*) AS n FROM x_matches GROUP BY ALL))
+SELECT m.match_id, round(q[1], 4) AS p_home, round(q[2], 4) AS p_draw, round(q[3], 4) AS p_away
+FROM x_matches m JOIN n USING (competition, date) JOIN x_power p ON p.match_id = m.match_id
+WHERE n_train >= 200 AND NOT coalesce({t.sane('over25_odds_cons', 'under25_odds_cons')}, false) AND NOT coalesce({t.sane('over25_odds', 'under25_odds')}, false)
+""")
+def implied_reprices(spark, sf):
+    """Without a price for totals, the fitted score distribution gives the three prices back."""
+    p = predictions(spark, sf).filter("q_home IS NOT NULL AND NOT has_totals").select(
+        "match_id", "lam_market", "mu_market", "rho_market")
+    again = scores.outcome_columns(p, "lam_market", "mu_market", "rho_market")
+    return rounded(again.select("match_id", "p_home", "p_draw", "p_away"), 4)
+
+
 @query("priced_fixtures", "R13 J1 J4 S20 J13")
 def priced_fixtures(spark, sf):
     """Upcoming fixtures priced end to end: fits, names, line fit, fusion, calibrators."""
@@ -92,7 +198,8 @@ def priced_fixtures(spark, sf):
     m = w.matches(spark, sf)
     upcoming = readers.fixtures(w.quotes(spark, sf), F.expr(f"TIMESTAMP '{w.CARD_NOW}'"),
                                 tiebreak=("match_id",))
-    learned = calibration.fit(qs.graded(spark, sf), ["group"])
+    # Learned on what the walk-forward said of earlier matches, which is what is calibrated here.
+    learned = calibration.fit(graded_predictions(spark, sf).filter(F.col("date") < day), ["group"])
     out = model.price_fixtures(m.filter(F.col("date") < day), upcoming, learned)
     return rounded(out.select("match_id", "competition", "match", "key", "group", "prob_raw",
                               "prob", "fair_odds", "odds", "edge", "new_team",

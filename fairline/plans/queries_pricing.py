@@ -29,10 +29,13 @@ def fused(spark, sf, weight=config.MARKET_WEIGHT):
 
 
 def selections(spark, sf, weight=config.MARKET_WEIGHT, keep=("match_id", "date", "competition"),
-               keys=None):
-    """Graded selections of every match, long."""
+               keys=None, folds=None):
+    """Graded selections of every match, long. ``folds`` are joined a row per match, before the expansion."""
+    rows = fused(spark, sf, weight)
+    if folds is not None:
+        rows = rows.join(folds, "match_id")
     return markets.expand_selections(
-        fused(spark, sf, weight), corner_lam="corner_lam", corner_mu="corner_mu",
+        rows, corner_lam="corner_lam", corner_mu="corner_mu",
         home_goals="home_goals", away_goals="away_goals", total_corners="total_corners",
         keep=keep, keys=keys)
 

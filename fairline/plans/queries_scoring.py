@@ -22,12 +22,12 @@ def store(df):
 def graded(spark, sf):
     """Graded selections of every match with their fold, stored once per session."""
     def build(spark, sf):
-        sel = qp.selections(spark, sf)
-        folds = calibration.with_folds(w.parameters(spark, sf))
+        folds = calibration.with_folds(w.parameters(spark, sf)).select("match_id", "fold")
+        sel = qp.selections(spark, sf, keep=("match_id", "date", "competition", "fold"),
+                            folds=folds)
         # Stored to 12 decimals, so equal probabilities reached by different sums stay equal.
         stored = F.rint(F.col("prob") * F.lit(1e12)) / F.lit(1e12)
-        return qp.drop_void(sel).withColumn("prob", stored).join(
-            folds.select("match_id", "fold"), "match_id")
+        return qp.drop_void(sel).withColumn("prob", stored)
     return w._stored(spark, sf, "graded", build)
 
 
@@ -356,7 +356,8 @@ SWEEP_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 @query("weight_sweep", "R11")
 def weight_sweep(spark, sf):
     """How much weight the closing line deserves: every weight in one plan, as a group key."""
-    p = w.parameters(spark, sf)
+    folds = calibration.with_folds(w.parameters(spark, sf)).select("match_id", "fold")
+    p = w.parameters(spark, sf).join(folds, "match_id")
     weights = F.explode(F.array(*[F.lit(v) for v in SWEEP_WEIGHTS])).alias("weight")
     from fairline.functions import markets, prices
 
@@ -368,9 +369,8 @@ def weight_sweep(spark, sf):
         "rho": prices.fuse(F.col("rho_model"), F.col("rho_market"), weight, geometric=False)})
     sel = qp.drop_void(markets.expand_selections(
         blended, corner_lam="corner_lam", corner_mu="corner_mu", home_goals="home_goals",
-        away_goals="away_goals", total_corners="total_corners", keep=("match_id", "weight")))
-    folds = calibration.with_folds(p).select("match_id", "fold")
-    values = store(sel.join(folds, "match_id").select("weight", "group", "fold", "prob", "y"))
+        away_goals="away_goals", total_corners="total_corners", keep=("match_id", "weight", "fold")))
+    values = store(sel.select("weight", "group", "fold", "prob", "y"))
     scored = store(calibration.walk_forward(values, ["weight", "group"]).filter("scored")
                    .select("weight", "prob", "y"))
     out = evaluation.scores(scored, ["weight"]).join(

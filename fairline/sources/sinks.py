@@ -46,12 +46,14 @@ def write_json_rows(df: DataFrame, path: str, digits: int = 4, mode: str = "erro
 
 
 def thin(df: DataFrame, position: str, limit: int = config.EQUITY_POINTS) -> DataFrame:
-    """Keep rows at positions floor(i * n / limit) of a 1-based ``position``; all when few."""
+    """Keep rows at positions floor(i * n / limit) of a 1-based ``position``; all when few.
+
+    A row decides by itself, from its position and the number of rows.
+    """
     size = df.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = size.filter(F.col("_n") > 0).select("_n", F.explode(
-        F.sequence(F.lit(0), F.lit(limit - 1))).alias("_i")).select(
-        F.when(F.col("_n") <= limit, F.lit(None)).otherwise(
-            F.least(F.floor(F.col("_i") * (F.col("_n") / F.lit(limit))), F.col("_n") - 1) + 1)
-        .alias("_at"), (F.col("_n") <= limit).alias("_all")).distinct()
-    hit = (F.col("_all")) | (F.col(position) == F.col("_at"))
-    return df.join(F.broadcast(wanted), hit, "left_semi")
+    step, place = F.col("_n") / F.lit(limit), F.col(position) - 1
+    near = F.ceil(place / step)
+    hit = F.col("_n") <= limit
+    for i in (near - 1, near, near + 1):  # rounding can move it by one
+        hit = hit | (i.between(0, limit - 1) & (F.floor(i * step) == place))
+    return df.crossJoin(F.broadcast(size)).filter(hit).drop("_n")
