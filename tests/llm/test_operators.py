@@ -246,7 +246,10 @@ def test_context_trees_equal_brute_force(spark, rows, none):
     assert ctw.score(none.selectExpr("*", "true AS train"), "train").count() == 0
 
 
-def test_classes_equal_brute_force(spark, rows, none):
+@pytest.mark.parametrize("small, tiled", [(384, 3072), (3, 1000), (2, 2)])  # whole buckets, tiles, parted buckets
+def test_classes_equal_brute_force(spark, rows, none, monkeypatch, small, tiled):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "TILED", tiled)
     rng = np.random.default_rng(9)
     words = [f"w{n}" for n in range(400)]
     texts = []
