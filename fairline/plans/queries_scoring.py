@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fairline import config
@@ -9,7 +11,7 @@ from fairline.functions import stats
 from fairline.operators import quality
 from fairline.operators.quantiles import exact_quantiles, steps
 from fairline.plans import calibration, evaluation, queries_pricing as qp, sql_tables as t
-from fairline.plans.registry import cte, query
+from fairline.plans.registry import CTES, cte, query
 from fairline.session import stage
 from fairline.sources import warehouse as w
 from fairline.sources.sinks import rounded
@@ -353,7 +355,37 @@ def finite_check(spark, sf):
 SWEEP_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
-@query("weight_sweep", "R11")
+# The sweep's tables are those above with the weight put into the group's name, so that
+# every weight has calibrators of its own.
+_WEIGHTS = f"(VALUES {', '.join(f'({t.D(v)})' for v in SWEEP_WEIGHTS)}) s(weight)"
+_AT = "match_id || '|' || weight"
+cte("x_fused_w", f"""
+SELECT {_AT} AS match_id, CASE WHEN lam_market IS NULL THEN lam_model ELSE pow(lam_model, {t.D(1)} - weight) * pow(lam_market, weight) END AS lam,
+  CASE WHEN mu_market IS NULL THEN mu_model ELSE pow(mu_model, {t.D(1)} - weight) * pow(mu_market, weight) END AS mu,
+  CASE WHEN rho_market IS NULL THEN rho_model ELSE ({t.D(1)} - weight) * rho_model + weight * rho_market END AS rho
+FROM x_params CROSS JOIN {_WEIGHTS}
+""")
+cte("x_goal_probs_w", "--m\n" + t.goal_probs("x_fused_w"))
+cte("x_vals_w", f"""--m
+SELECT match_id, s.key AS key, weight || '|' || s."group" AS "group", s.prob AS prob, CASE WHEN s.result THEN 1 ELSE 0 END AS y, fold FROM (
+ SELECT p.match_id, weight, unnest({t.selection_rows('goals')}) AS s FROM x_params p CROSS JOIN {_WEIGHTS} JOIN x_goal_probs_w g ON g.match_id = p.{_AT}
+ UNION ALL SELECT match_id, weight, unnest({t.selection_rows('corners')}) AS s FROM x_corner_probs JOIN x_params USING (match_id) CROSS JOIN {_WEIGHTS.replace(' s(', ' v(')})
+JOIN x_folds USING (match_id) WHERE s.result IS NOT NULL AND s.prob IS NOT NULL
+""")
+_CHAIN = ("x_vals", "x_train", "x_cuts", "x_bins", "x_knots", "x_cal")
+for _name in _CHAIN[1:]:
+    cte(f"{_name}_w", re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"\1_w", CTES[_name]))
+cte("x_scored_w", """--m
+SELECT CAST(split_part("group", '|', 1) AS DOUBLE) AS weight, prob, y FROM x_cal_w WHERE fold > 1
+""")
+
+
+@query("weight_sweep", "R11", f"""
+SELECT s.weight, n, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(ece, 6) AS ece FROM (
+ SELECT weight, count(*) AS n, avg((prob - y) * (prob - y)) AS brier,
+  avg(-(y * ln(least(greatest(prob, 1e-9), 1 - 1e-9)) + (1 - y) * ln(1 - least(greatest(prob, 1e-9), 1 - 1e-9)))) AS log_loss FROM x_scored_w GROUP BY weight) s
+JOIN ({ece_sql('x_scored_w', 'weight')}) e ON e.weight = s.weight
+""")
 def weight_sweep(spark, sf):
     """How much weight the closing line deserves: every weight in one plan, as a group key."""
     folds = calibration.with_folds(w.parameters(spark, sf)).select("match_id", "fold")
@@ -370,7 +402,8 @@ def weight_sweep(spark, sf):
     sel = qp.drop_void(markets.expand_selections(
         blended, corner_lam="corner_lam", corner_mu="corner_mu", home_goals="home_goals",
         away_goals="away_goals", total_corners="total_corners", keep=("match_id", "weight", "fold")))
-    values = store(sel.select("weight", "group", "fold", "prob", "y"))
+    prob = F.rint(F.col("prob") * F.lit(1e12)) / F.lit(1e12)  # as stored selections
+    values = store(sel.select("weight", "group", "fold", prob.alias("prob"), "y"))
     scored = store(calibration.walk_forward(values, ["weight", "group"]).filter("scored")
                    .select("weight", "prob", "y"))
     out = evaluation.scores(scored, ["weight"]).join(

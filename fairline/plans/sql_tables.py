@@ -207,15 +207,20 @@ def settled_sql(key: str) -> str:
     return f"total_corners {sign} {head[7:]}"
 
 
-def _long(kind: str) -> str:
+def selection_rows(kind: str) -> str:
+    """The selections of a match as a list, from its row of probabilities and its goals."""
     rows = []
     for s in (GOAL if kind == "goals" else CORNER):
         prob = alias(s.key)
         if kind == "corners" and s.key.endswith("over"):
             prob = f"1 - {alias(s.key.replace('_over', '_under'))}"
         rows.append(f"{{'key': '{s.key}', 'group': '{s.group}', 'prob': {prob}, 'result': ({settled_sql(s.key)})}}")
+    return f"[{', '.join(rows)}]"
+
+
+def _long(kind: str) -> str:
     table = "x_goal_probs" if kind == "goals" else "x_corner_probs"
-    return (f"SELECT match_id, date, competition, unnest([{', '.join(rows)}]) AS s "
+    return (f"SELECT match_id, date, competition, unnest({selection_rows(kind)}) AS s "
             f"FROM {table} JOIN x_params USING (match_id)")
 
 

@@ -11,8 +11,6 @@ from fairline.plans import registry
 ALL = registry.load_all()
 WITH_SQL = [n for n, q in ALL.items() if q.sql]
 WITHOUT_SQL = [n for n, q in ALL.items() if not q.sql]
-# Rows-only queries that take long even on the smallest tables.
-SLOW = {"weight_sweep"}
 
 
 def plain(value):
@@ -39,7 +37,7 @@ def test_matches_sql(name, spark, duck):
     assert ordered(ours) == ordered(theirs)
 
 
-@pytest.mark.parametrize("name", [n for n in WITHOUT_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", WITHOUT_SQL)
 def test_runs_without_sql(name, spark):
     assert ALL[name].build(spark, SF_DIR).count() > 0
 
