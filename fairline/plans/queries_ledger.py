@@ -243,8 +243,8 @@ def stream_ingest_quotes(spark, sf):
 
 
 @query("stream_current_quotes", "T2 T3", f"""
-SELECT competition, home, away, fetched_at, match_id, home_odds FROM (SELECT * FROM x_quotes QUALIFY row_number() OVER (PARTITION BY competition, home, away ORDER BY fetched_at DESC, match_id DESC) = 1)
-WHERE coalesce(commence_time, CAST(date + 1 AS TIMESTAMP)) > TIMESTAMP '{w.CARD_NOW}'
+SELECT competition, home, away, fetched_at, match_id, home_odds FROM x_quotes WHERE coalesce(commence_time, CAST(date + 1 AS TIMESTAMP)) > TIMESTAMP '{w.CARD_NOW}'
+QUALIFY row_number() OVER (PARTITION BY competition, home, away ORDER BY fetched_at DESC, match_id) = 1
 """)
 def stream_current_quotes(spark, sf):
     q = w.quotes(spark, sf).select("match_id", "fetched_at", "competition", "home", "away",
