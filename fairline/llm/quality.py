@@ -100,11 +100,13 @@ class Machine:
 
     def raw(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         starts = np.searchsorted(row, np.arange(n))  # every row has its statistics, so none is empty
-        vx = self.factors[feature] * value[:, None]
-        sums = np.add.reduceat(vx, starts, axis=0)
-        squares = np.add.reduceat(vx * vx, starts, axis=0)
-        linear = np.add.reduceat(self.weight[feature] * value, starts)
-        return self.bias + linear + 0.5 * (sums * sums - squares).sum(axis=1), sums
+        raw = self.bias + np.add.reduceat(self.weight[feature] * value, starts)
+        sums = np.empty((n, self.factors.shape[1]))
+        for f, factor in enumerate(self.factors.T):  # one at a time, so that memory doesn't grow with their number
+            vx = factor[feature] * value
+            sums[:, f] = np.add.reduceat(vx, starts)
+            raw += 0.5 * (sums[:, f] ** 2 - np.add.reduceat(vx * vx, starts))
+        return raw, sums
 
     def scores(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(row, feature, value, n)[0], -40, 40)))
