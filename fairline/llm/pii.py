@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -12,8 +13,9 @@ from fairline.llm.text import KEY, SPACES, TEXT, key_type, keyed, map_batches
 from fairline.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
+#: Rounds at least; they go on while patterns are added.
 ROUNDS = 3
-#: A pattern is trusted with this many different seeds and this share of its weight on one kind.
+#: A pattern is trusted with this many different seeds or discovered instances and this share of its weight on one kind.
 MIN_SEEDS, MIN_CONFIDENCE = 3, 0.8
 #: Score of instances below which nothing is taken.
 MIN_SCORE = 0.8
@@ -148,27 +150,36 @@ def bootstrap(hints: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     The graph has an edge per pattern and instance. A seed scores 1 for its kind. A pattern's confidence in a kind is
     the sum of its instances' scores over their number, where what is still unknown of an unseen instance counts ``UNKNOWN``
     and one doubt is added. An unseen instance's score is 1 minus the product of (1 - confidence) of its trusted patterns.
-    Each round scores the patterns from the last instance scores, then the instances, by joins along the edges;
-    sums are combined before they are shuffled.
+    Each round scores the patterns from the seeds and the last instance scores, then the instances, by joins along the edges;
+    sums are combined before they are shuffled. Discovered instances count among the ``MIN_SEEDS`` as seeds do, so they can
+    make further patterns eligible. Scores and trusted patterns only grow; after ``rounds`` it ends with the first round that
+    trusts no new pattern.
     """
     edges = stage(hints.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "pii-edges")
-    # which patterns can be trusted at all is known from the seeds, and keeps the rounds small
     seeds = edges.where("seed <> ''")
-    strong = seeds.groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
     known = seeds.groupBy("pattern").agg(F.count("*").alias("known"))
-    open_ = stage(edges.where("seed = ''").join(strong.select("pattern").distinct(), "pattern").select("pattern", "instance"), "pii-open")
+    open_ = edges.where("seed = ''").select("pattern", "instance")
     unseen = open_.groupBy("pattern").agg(F.count("*").alias("unseen"))
-    base = stage(strong.join(known, "pattern").join(unseen, "pattern"), "pii-patterns")
-    zero, scores, trusted = F.lit(0.0), None, None
-    for n in range(max(1, rounds)):
-        given = base.withColumn("given", zero) if scores is None else base.join(
-            open_.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("given")), ["pattern", "kind"], "left")
-        got = F.coalesce("given", zero)
-        confidence = (F.col("seeds") + got) / (F.col("known") + got + UNKNOWN * (F.col("unseen") - got) + DOUBT)
-        trusted = given.withColumn("confidence", F.least(confidence, F.lit(0.999))).where(F.col("confidence") >= MIN_CONFIDENCE)
-        trusted = trusted.select("pattern", "kind", "confidence")
+    sizes = stage(unseen.join(known, "pattern", "left").select("pattern", "unseen", F.coalesce("known", F.lit(0)).alias("known")), "pii-patterns")
+    seeded = stage(seeds.groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
+                   .join(sizes.select("pattern"), "pattern", "left_semi"), "pii-seeds")
+    scores, trusted, before = None, None, 0
+    for n in itertools.count(1):
+        backed = seeded.select("*", F.lit(0).alias("found"), F.lit(0.0).alias("given"))
+        if scores is not None:
+            more = open_.join(scores, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("found"), F.sum("score").alias("given"))
+            backed = seeded.join(more, ["pattern", "kind"], "full").na.fill(0, ["seeds", "found", "given"])
+        confidence = (F.col("seeds") + F.col("given")) / (
+            F.col("known") + F.col("given") + UNKNOWN * (F.col("unseen") - F.col("given")) + DOUBT)
+        passed = backed.where(F.col("seeds") + F.col("found") >= MIN_SEEDS).join(sizes, "pattern").withColumn(
+            "confidence", F.least(confidence, F.lit(0.999))).where(F.col("confidence") >= MIN_CONFIDENCE)
+        trusted = stage(passed.select("pattern", "kind", "confidence"), f"pii-trusted-{n}")
         scores = stage(open_.join(trusted, "pattern").groupBy("instance", "kind")
                        .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")), f"pii-scores-{n}")
+        held = trusted.count()
+        if not held or n >= rounds and held == before:
+            break
+        before = held
     best = scores.where(F.col("score") >= MIN_SCORE).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     return stage(open_.join(trusted.select("pattern").distinct(), "pattern").join(best, "instance").select("pattern", "instance", "kind"), "pii-found")
 
@@ -200,7 +211,8 @@ def find(rows: DataFrame, key: str = KEY, text: str = TEXT, rounds: int = ROUNDS
     a row, null keys stay null, other columns are ignored.
 
     The method: base matches are seeds, the two words before a seed are its lexical pattern, and other words with digits
-    or an @ that stand after the same words are candidate instances. :func:`bootstrap` scores the graph. A discovered
+    or an @ that stand after the same words are candidate instances. :func:`bootstrap` scores the graph, whose discovered
+    instances prove further patterns. A discovered
     identifier never overlaps a base span. Texts are read once; what is shuffled is one row per candidate.
     """
     found = spans_of(keyed(rows, key, text).withColumnRenamed("key", "rest"), rounds)

@@ -168,6 +168,20 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark, rows, none):
     assert pii.find(none).count() == 0
 
 
+def test_discovered_instances_prove_further_contexts(spark):
+    """Only 'tel no' has seeds; each later context is proved by what the one before it found, through more links than ROUNDS."""
+    ways = ["tel no", "reach me", "ring us", "voice line", "desk line", "night line"]
+    lines, held = [f"tel no +44 20 7946 {n:04d} now" for n in range(4000)], []
+    for n, way in enumerate(ways):
+        fresh = [f"0207-{n}-{m:05d}" for m in range(4 ** (5 - n))]
+        lines += [f"{way} {x} now" for x in held + fresh]
+        held = fresh
+    lines += ["scored at 99999-1 then"]
+    found = pii.find(spark.createDataFrame(list(enumerate(lines)), "match_id bigint, text string")).collect()
+    missed = [lines[r["match_id"]] for r in found if not r["spans"]]
+    assert missed == ["scored at 99999-1 then"]
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(8)
     data = [(n, rng.normal(0, 1, 6).round(1).tolist()) for n in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (3, [0.5] * 6)]
