@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -30,6 +31,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 EDGES = "\"'“”‘’«»()[]{}<>.,;:!?"
+#: Digit groups with spaces, brackets, dots and hyphens between, up to the end of a word; a dot before a space ends a sentence.
+RUN = re.compile(rf"\+?[0-9](?:(?:[ ()-]|\.(?! ))*+[0-9])*(?=[{re.escape(EDGES)}]*(?:[{SPACES}]|\Z))")
+#: Longer words and instances are held by their digest, so that rows stay small.
+LONG = 200
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -71,27 +76,93 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def words_before(text: str, at: int) -> str:
-    """The two words before a place, lower case and without marks at their ends; '' where there are fewer."""
-    words, end = [], at
-    while len(words) < 2:
+def named(part: str) -> str:
+    """What an instance is known by: itself in lower case, or its digest."""
+    return part.lower() if len(part) <= LONG else f"#{hashlib.md5(part.casefold().encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+class Contexts:
+    """The two words before places of one text, lower case and without marks at their ends.
+
+    Places are asked for in rising order: a long unspaced word is then read once, however many places it holds.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.word, self.first, self.asked, self.earlier = text, 0, 0, 0, ""
+        self.from_, self.read, self.made = 0, 0, hashlib.md5()
+
+    def before(self, at: int) -> str:
+        """'' where there are fewer than two words."""
+        text, end = self.text, at
         while end and text[end - 1] in SPACES:
             end -= 1
+        if not end:
+            return ""
+        start, least = end, self.asked if self.asked <= end else 0
+        while start > least and text[start - 1] not in SPACES:
+            start -= 1
+        if not least or start > least or text[least - 1] in SPACES:
+            self.word = self.first = start
+            self.earlier = self.word_before(start)
+        self.asked = end
+        return self.earlier and f"{self.earlier} {self.written(end)}"
+
+    def written(self, end: int) -> str:
+        """The word that starts at ``word``, as far as ``end``; a long one is digested from where it was last read to."""
+        while self.first < end and self.text[self.first] in EDGES:
+            self.first += 1
+        a, b = self.first, end
+        while b > a and self.text[b - 1] in EDGES:
+            b -= 1
+        if a == b:
+            return named(self.text[self.word:end])
+        if b - a <= LONG:
+            return self.text[a:b].lower()
+        if self.from_ != a or not a < self.read <= b:
+            self.from_, self.read, self.made = a, a, hashlib.md5()
+        self.made.update(self.text[self.read:b].casefold().encode("utf-8", "surrogatepass"))
+        self.read = b
+        return f"#{self.made.hexdigest()}"
+
+    def word_before(self, end: int) -> str:
+        while end and self.text[end - 1] in SPACES:
+            end -= 1
         start = end
-        while start and text[start - 1] not in SPACES and end - start < 40:
+        while start and self.text[start - 1] not in SPACES:
             start -= 1
-        if start == end:
-            return ""
-        words.append(text[start:end].lower().strip(EDGES) or text[start:end])
-        end = start
-    return " ".join(reversed(words))
+        return named(self.text[start:end].strip(EDGES) or self.text[start:end])
+
+
+def words_before(text: str, at: int) -> str:
+    """The two words before a place, lower case and without marks at their ends; '' where there are fewer."""
+    return Contexts(text).before(at)
+
+
+def run_at(text: str, start: int, least: int, most: int) -> tuple[int, int] | None:
+    """The digit groups that start at the word's start ``start``, within ``least`` and ``most``, with brackets that belong to them."""
+    if not (m := RUN.match(text, start, most)):
+        return None
+    end = m.end()
+    if end == most < len(text):  # cut by what follows: only whole words
+        while end > start and text[end - 1] not in SPACES:
+            end -= 1
+        while end > start and text[end - 1] not in "0123456789":
+            end -= 1
+    opened, closed = text.count("(", start, end), text.count(")", start, end)
+    if closed > opened and start > least and text[start - 1] == "(":
+        start -= 1
+    elif opened > closed and text[end:end + 1] == ")":
+        end += 1
+    return start, end
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, str, str, int, int]]:
-    """(kind or '', pattern, instance, start, end): the base spans, and other words that look like identifiers."""
-    out = []
-    for kind, a, b in taken:
-        out.append((kind, words_before(text, a), text[a:b].lower(), a, b))
+    """(kind or '', pattern, instance, start, end): the base spans, and what else looks like an identifier.
+
+    That is a run of digit groups over several words, or else a word; with digits enough, or an @ in a word.
+    """
+    known, seen = Contexts(text), Contexts(text)
+    out = [(kind, known.before(a), named(text[a:b]), a, b) for kind, a, b in sorted(taken, key=lambda s: s[1:])]
     spans, n, at, done = sorted((a, b) for _, a, b in taken), 0, 0, 0
     for m in MARK.finditer(text):
         at = m.start()
@@ -102,20 +173,24 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             start -= 1
         while end < len(text) and text[end] not in SPACES:
             end += 1
-        done = end
+        least, done = start, end
         while start < end and text[start] in EDGES:
             start += 1
         while end > start and text[end - 1] in EDGES:
             end -= 1
-        word = text[start:end]
-        if end - start > 64 or len(digits_of(word)) < MIN_DIGITS and "@" not in word:
-            continue
         while n < len(spans) and spans[n][1] <= start:
             n += 1
-        if n < len(spans) and spans[n][0] < end:
+        following = spans[n][0] if n < len(spans) else len(text)
+        if following < end:
+            continue
+        if (run := run_at(text, start, least, following)) and run[1] >= end:
+            start, end = run
+            done = max(done, end)
+        word = text[start:end]
+        if len(digits_of(word)) < MIN_DIGITS and "@" not in word:
             continue
-        if pattern := words_before(text, start):
-            out.append(("", pattern, word.lower(), start, end))
+        if pattern := seen.before(start):
+            out.append(("", pattern, named(word), start, end))
     return out
 
 
@@ -210,8 +285,8 @@ def find(rows: DataFrame, key: str = KEY, text: str = TEXT, rounds: int = ROUNDS
     by kind, then start); the counts are of the base. Null and empty texts have no spans; repeated rows each give
     a row, null keys stay null, other columns are ignored.
 
-    The method: base matches are seeds, the two words before a seed are its lexical pattern, and other words with digits
-    or an @ that stand after the same words are candidate instances. :func:`bootstrap` scores the graph, whose discovered
+    The method: base matches are seeds, the two words before a seed are its lexical pattern, and runs of digit groups
+    and other words with digits or an @ that stand after the same words are candidate instances. :func:`bootstrap` scores the graph, whose discovered
     instances prove further patterns. A discovered
     identifier never overlaps a base span. Texts are read once; what is shuffled is one row per candidate.
     """

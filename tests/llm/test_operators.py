@@ -182,6 +182,30 @@ def test_discovered_instances_prove_further_contexts(spark):
     assert missed == ["scored at 99999-1 then"]
 
 
+def test_candidates_are_whole_runs_with_their_contexts():
+    for way in ("(243) 555-5526", "020 7946 0999", "3782 822463 10005", "(243)5555526", "0207.946.0999", "+1 (20) 55", "x" * 70 + "@localhost", "7" * 80):
+        for text in (f"call tel no {way} now", f"call tel no {way}.", f"call tel no: {way}", f"call tel no {way}, (or) 12"):
+            taken = pii.base_spans(text)
+            got = [(p, i, text[a:b]) for k, p, i, a, b in pii.candidates(text, taken) if not k]
+            assert got == [("tel no", way, way)], text
+    assert [c[1:3] for c in pii.candidates("see tel no (020 7946 0999) now", [])] == [("no (", "020 7946 0999")]
+    assert [c[2] for c in pii.candidates("at tel no 020 7946 0999x 12345 67", [])] == ["020 7946", "12345 67"]
+    assert [c[2] for c in pii.candidates("of tel no 12345,67890 in 2019. 12 men", [])] == ["12345,67890"]
+    text = "at tel no 020 7946 97.51.17.173 now"
+    assert [c[:3] for c in pii.candidates(text, pii.base_spans(text))] == [("ip", "020 7946", "97.51.17.173"), ("", "tel no", "020 7946")]
+    for n in (39, 40, 41, 250):
+        one, other = ("tel " + c + "o" * n for c in "ab")
+        assert pii.words_before(one + " x", n + 6) != pii.words_before(other + " x", n + 6)
+
+
+def test_contexts_asked_in_order_equal_those_asked_alone():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        t = "".join(rng.choice(list("aB1@.( ") + ["word" * 60, "  "], rng.integers(0, 30), p=[.15, .15, .15, .1, .1, .1, .1, .1, .05]))
+        context = pii.Contexts(t)
+        assert [context.before(n) for n in range(len(t) + 1)] == [pii.words_before(t, n) for n in range(len(t) + 1)]
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(8)
     data = [(n, rng.normal(0, 1, 6).round(1).tolist()) for n in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (3, [0.5] * 6)]
