@@ -149,8 +149,9 @@ class Words:
         """The normalised text, or None if the tokenizers library has to part it."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return None if STABLE.search(text) else text.lower()
+        # looked at in lower case: some capitals below U+0250 have small letters above
+        text = unicodedata.normalize("NFC", text).lower()
+        return None if STABLE.search(text) else text
 
     def of(self, text: str) -> list[str]:
         if (plain := self.plain(text)) is not None:

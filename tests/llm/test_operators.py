@@ -62,6 +62,22 @@ def test_trie_encoding_equals_the_library(rows, none):
     assert by_text(rows, back, "decoded") == {n: (d[1],) for n, d in got.items()}
 
 
+def test_capitals_with_small_letters_above_the_fast_range(spark):
+    capitals = [chr(c) for c in range(0x80, 0x250) if max(chr(c).lower()) >= "\u0250"]
+    assert len(capitals) >= 23 and "\u018f" in capitals
+    texts = [f"{c}li went home, a{c}{c} too" for c in capitals] + ["STRA\u1e9eE \u2c7eli \u212aelvin", "\u00c9li \u0178s"]
+    words = bpe.Words(read_source(WORD))
+    tok = tokenizer(read_source(WORD))
+    back = {c: b for b, c in bpe.byte_letters().items()}
+    for t in texts:
+        want = [bytes(map(back.__getitem__, w)).decode() for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(t))]
+        assert words.of(t) == want, t
+    frame = spark.createDataFrame(list(enumerate(texts)), "match_id bigint, text string")
+    assert by_text(None, bpe.encode(frame, WORD), "ids") == {n: (ids_of(WORD, t),) for n, t in enumerate(texts)}
+    packed = {r["match_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(frame, WORD, 256).collect()}
+    assert packed == {n: (len(ids_of(WORD, t)) + 1, crc([*ids_of(WORD, t), 0])) for n, t in enumerate(texts)}
+
+
 def test_wavelet_answers_as_the_plain_sequence():
     ids = np.random.default_rng(3).integers(0, 50_257, 10_007)
     ids[:300] = 7
