@@ -384,6 +384,25 @@ def test_stream_replay_writes_the_same_rows(spark, tmp_path):
     assert [(r.k, r.arrival) for r in got] == [("d1", 1)]
 
 
+def test_stream_settles_feed_spellings_over_micro_batches(spark, tmp_path):
+    day = datetime.date(2026, 8, 15)
+    picks = spark.createDataFrame(
+        [(i, day, "X", home, away, "1x2_home", 2.0, "pending") for i, home, away in (
+            ("exact", "leeds", "hull"), ("spelt", "leeds united", "hull"), ("later", "york", "bury town"), ("none", "ayr", "hull"))],
+        "pick_id string, day date, competition string, home string, away string, key string, odds double, outcome string")
+    columns = ("result_id string, competition string, home string, away string, date date, home_goals int, away_goals int, total_corners int")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(columns).parquet(src)
+    # The third batch repeats a match with another score: what is graded stays.
+    for batch in ([("r1", "X", "leeds", "hull", day, 2, 0, None)], [("r2", "X", "york", "bury", day, 0, 1, None)],
+                  [("r0", "X", "leeds", "hull", day, 0, 3, None)]):
+        spark.createDataFrame(batch, columns).coalesce(1).write.mode("append").parquet(src)
+        books.settle_picks(stream, lambda s: picks, out, str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r.pick_id, r.home, r.outcome, r.batch) for r in spark.read.parquet(out).collect())
+    assert got == [("exact", "leeds", "won", 0), ("later", "york", "lost", 1), ("spelt", "leeds united", "won", 0)]
+
+
 # -- files and plans ---------------------------------------------------------------------------
 
 def test_quote_files_with_different_headers(spark, tmp_path):
