@@ -215,7 +215,7 @@ def verdict(n: Column, low: Column, high: Column) -> Column:
             .when(high < 0, "losing").otherwise("critical"))
 
 
-def bootstrap(units: DataFrame, unit: str, by: Sequence[str] = (), samples: int = 400,
+def bootstrap(units: DataFrame, unit: str, by: Sequence[str] = (), samples: int = config.BOOTSTRAP_SAMPLES,
               stake: float = config.BACKTEST_STAKE, seed: int = 42) -> DataFrame:
     """95 % interval of ROI by resampling units with replacement.
 
@@ -254,7 +254,8 @@ def match_units(bets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("pnl").alias("pnl"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def with_interval(bets: DataFrame, by: Sequence[str] = (), samples: int = 400) -> DataFrame:
+def with_interval(bets: DataFrame, by: Sequence[str] = (),
+                  samples: int = config.BOOTSTRAP_SAMPLES) -> DataFrame:
     head = summary(bets, by)
     interval = bootstrap(bet_units(bets, by), "unit", by, samples)
     joined = head.join(interval, list(by)) if by else head.crossJoin(interval)
@@ -277,7 +278,7 @@ def equity_curve(bets: DataFrame) -> DataFrame:
 
 
 def sweep_bands(selections: DataFrame, bands=config.SWEEP_BANDS,
-                min_edge: float = config.MIN_EDGE, samples: int = 400) -> DataFrame:
+                min_edge: float = config.MIN_EDGE, samples: int = config.BOOTSTRAP_SAMPLES) -> DataFrame:
     """Every price band from one pass over the selections: a bet joins each band it is in."""
     spark = selections.sparkSession
     dim = spark.createDataFrame([(f"{lo:.2f}-{hi:.2f}", lo, hi) for lo, hi in bands],
@@ -293,7 +294,8 @@ def date_cut(bets: DataFrame, split: float = 0.5) -> DataFrame:
     return bets.agg(F.percentile(day_number(F.col("date")), F.lit(split)).alias("cut"))
 
 
-def validate(bets: DataFrame, split: float = 0.5, samples: int = 400, **filters) -> DataFrame:
+def validate(bets: DataFrame, split: float = 0.5, samples: int = config.BOOTSTRAP_SAMPLES,
+             **filters) -> DataFrame:
     """ROI before and after the filters on the half that chose them and on the other half."""
     halves = bets.crossJoin(F.broadcast(date_cut(bets, split))).withColumn(
         "half", F.when(day_number(F.col("date")) <= F.col("cut"), "train").otherwise("test"))

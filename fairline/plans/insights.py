@@ -144,7 +144,7 @@ def outcome_split(bets: DataFrame) -> DataFrame:
                 F.when(share > 70, "warning").otherwise("neutral"), share, F.col("e"))
 
 
-def market_split(bets: DataFrame, samples: int = 400) -> DataFrame:
+def market_split(bets: DataFrame, samples: int = config.BOOTSTRAP_SAMPLES) -> DataFrame:
     one = backtest.with_interval(bets, ["market"], samples).agg(
         F.count(F.lit(1)).alias("k"), F.bool_or(F.col("ci_low") > 0).alias("proven"),
         _rows(-F.col("n"), F.col("market"), F.col("n"), F.round("roi", 2),

@@ -130,6 +130,10 @@ for _k in range(9):
 _DRAW = "CASE " + " ".join(_POISSON) + " ELSE 9.0e0 END"
 
 
+#: Replicates in the SQL of queries that have a twin to equal; the library's default and the others' count is config.BOOTSTRAP_SAMPLES.
+SQL_SAMPLES = 400
+
+
 def boot_sql(units: str, by: str = "", samples: int = 400) -> str:
     head = f"{by}, " if by else ""
     tail = f" GROUP BY {by}" if by else ""
@@ -149,7 +153,7 @@ _VERDICT = "CASE WHEN ci_low > 0 AND n >= 200 THEN 'good' WHEN ci_low > 0 THEN '
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT {_SUM} FROM x_bets) s CROSS JOIN ({boot_sql('x_bet_units')}) b
 """)
 def backtest_summary(spark, sf):
-    out = backtest.with_interval(bets(spark, sf))
+    out = backtest.with_interval(bets(spark, sf), samples=SQL_SAMPLES)
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -157,14 +161,14 @@ def backtest_summary(spark, sf):
 SELECT round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ({boot_sql('(SELECT match_id AS unit, sum(pnl) AS pnl, CAST(count(*) AS DOUBLE) AS n FROM x_bets GROUP BY match_id)')})
 """)
 def cluster_interval(spark, sf):
-    return rounded(backtest.bootstrap(backtest.match_units(bets(spark, sf)), "unit"), 4)
+    return rounded(backtest.bootstrap(backtest.match_units(bets(spark, sf)), "unit", samples=SQL_SAMPLES), 4)
 
 
 @query("returns_by_market", "A19 A20", f"""
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT market, {_SUM} FROM x_bets GROUP BY market) s JOIN ({boot_sql('x_bet_units', 'market')}) b USING (market)
 """)
 def returns_by_market(spark, sf):
-    out = backtest.with_interval(bets(spark, sf), ["market"])
+    out = backtest.with_interval(bets(spark, sf), ["market"], SQL_SAMPLES)
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -232,7 +236,7 @@ cte("x_sweep_units", f"SELECT r.*, band, odds_min, odds_max, bet_id AS unit, 1.0
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT band, odds_min, odds_max, {_SUM} FROM x_sweep_units GROUP BY band, odds_min, odds_max) s JOIN ({boot_sql('x_sweep_units', 'band')}) b USING (band)
 """)
 def band_sweep(spark, sf):
-    out = backtest.sweep_bands(selections(spark, sf))
+    out = backtest.sweep_bands(selections(spark, sf), samples=SQL_SAMPLES)
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -246,7 +250,7 @@ SELECT b.half, n_before, round(roi_before, 6) AS roi_before, n_after, round(roi_
 FROM (SELECT half, count(*) AS n_before, sum(pnl) / (count(*) * 10.0e0) * 100 AS roi_before FROM x_halves GROUP BY half) b JOIN (SELECT half, count(*) AS n_after, sum(pnl) / (count(*) * 10.0e0) * 100 AS roi_after FROM k GROUP BY half) a USING (half) JOIN ({boot_sql('u', 'half')}) i USING (half)
 """)
 def holdout_validation(spark, sf):
-    out = backtest.validate(bets(spark, sf), **FILTERS)
+    out = backtest.validate(bets(spark, sf), samples=SQL_SAMPLES, **FILTERS)
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}), 6)
 
 

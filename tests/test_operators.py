@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables."""
 
 import datetime
+import inspect
 import json
 import math
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from fairline import config
 from fairline.functions import dates, fits, markets, names, prices, scores, stats
 from fairline.operators import matching, ordering, quality, quantiles
-from fairline.plans import backtest, calibration, ledger, model, selection
+from fairline.plans import backtest, calibration, insights, ledger, model, selection
 from fairline.session import stage
 from fairline.sources import layouts, readers
 from fairline.streaming import books
@@ -432,6 +433,17 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert row.ci_high == pytest.approx(np.percentile(draws, 97.5), abs=1.0)
 
 
+def test_intervals_rest_on_all_the_replicates_by_default(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(str(i), float(v), 1.0) for i, v in enumerate(rng.normal(0.5, 10, 200))],
+                               "unit string, pnl double, n double")
+    assert config.BOOTSTRAP_SAMPLES == 5000
+    assert backtest.bootstrap(df, "unit").first() == backtest.bootstrap(df, "unit", samples=5000).first()
+    assert backtest.bootstrap(df, "unit").first() != backtest.bootstrap(df, "unit", samples=400).first()
+    for f in (backtest.bootstrap, backtest.with_interval, backtest.sweep_bands, backtest.validate, insights.market_split):
+        assert inspect.signature(f).parameters["samples"].default == config.BOOTSTRAP_SAMPLES
+
+
 def test_plans_have_no_row_udf_cartesian_or_global_window(spark):
     from conftest import SF_DIR
     from fairline.plans import registry
