@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import bpe, cleaning, ctw, near_dup, packing, pii, quality, token_counts, topk, wavelet
+from fairline.llm import bpe, cleaning, ctw, leakage, near_dup, packing, pii, quality, search, spelling, token_counts, topk, wavelet
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 KEEP_SCORE = 0.7
@@ -79,9 +79,37 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), "doc_id", digests=True)
 
 
+def misprinted(docs: DataFrame) -> DataFrame:
+    """The runs of letters of all texts, one in 97 without one of its letters."""
+    runs = F.explode(F.regexp_extract_all(F.translate("text", leakage.UPPER, leakage.LOWER), F.lit("[a-z\u00C0-\u00FF]+"), F.lit(0)))
+    words = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), runs.alias("word"))
+    named = words.select("word", F.crc32(F.concat("doc", F.lit(":"), "word")).alias("h"))
+    at = (F.col("h") % F.length("word")).cast("int")
+    short = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return named.select(F.when(F.col("h") % 97 == 0, short).otherwise(F.col("word")).alias("home_team"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spelling.spellings(misprinted(read(spark, sf_dir, "documents")), ("home_team",))
+    return spelling.variants(names).withColumnRenamed("team", "word")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return search.rank_matches(docs, items, "doc_id", "text", "item_id", "text")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = leakage.held_out_leaks(docs, items, "doc_id", "text", "item_id", "text")
+    return found.select("doc_id", "n_words", "n_hit", F.size("held_out").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("held_out", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_topk, op4_pii, op5_token_counts, op6_lm_scoring,
-                                    op7_best_fit_packing, op8_near_dedup, op9_wavelet_tokens, op10_trie_bpe)}
+                                    op7_best_fit_packing, op8_near_dedup, op9_wavelet_tokens, op10_trie_bpe, op11_spelling_variants,
+                                    op12_ranked_search, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
