@@ -125,7 +125,8 @@ def held_out_leaks(files: DataFrame, held_out: DataFrame, key: str = "file", tex
     for n in sorted(lengths):
         short = hashes(held.where(F.size("words") == n), n).select("key", F.get("h", 0).alias("mark"), F.xxhash64(F.lit(n), F.get("h", 0)).alias("context"))
         owners = owners.unionByName(short.select("context", "key"))
-        runs = hashes(rows, n).select(*row, F.posexplode("h").alias("at", "mark")).join(short.select("mark", "context").distinct(), "mark")
+        # not a bare column: Spark would infer a filter on it and write the hashes into that filter's inner loop
+        runs = hashes(rows, n).select(*row, F.posexplode(F.coalesce("h", F.array().cast("array<bigint>"))).alias("at", "mark")).join(short.select("mark", "context").distinct(), "mark")
         hits = hits.unionByName(runs.groupBy(*row).agg(F.array().cast("array<int>").alias("places"), F.collect_set(F.struct(
             F.col("at").alias("start"), (F.col("at") + n).alias("stop"), "context")).alias("shorts")))
     if lengths:

@@ -112,8 +112,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                     op12_ranked_search, op13_decontamination)}
 
 
+LOWERED = f"translate(text, '{leakage.UPPER}', '{leakage.LOWER}')"
+TERMS_SQL = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+WORDS_SQL = f"regexp_extract_all({LOWERED}, '{leakage.WORD}')"
+
+RANKED_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, len(t) AS n, t FROM (SELECT doc_id, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0),
+    g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+    p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM d) GROUP BY ALL),
+    q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g
+          WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+    s AS (SELECT item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL),
+    o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20"""
+
+LEAKS_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w, least(10, len(w)) AS span FROM benchmark WHERE text IS NOT NULL),
+    i AS (SELECT DISTINCT item, span, unnest(list_transform(generate_series(1, len(w) - span + 1), lambda x: array_to_string(w[x:x + span - 1], ' '))) AS win
+          FROM b WHERE span > 0),
+    u AS (SELECT r, n, place, [w, {', '.join(f'lead(w, {x}) OVER o' for x in range(1, leakage.SPAN))}] AS ws
+          FROM (SELECT r, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM d) WINDOW o AS (PARTITION BY r ORDER BY place)),
+    v AS (SELECT r, span, place, array_to_string(ws[1:span], ' ') AS win FROM u, (SELECT DISTINCT span FROM i) WHERE place + span - 1 <= n),
+    m AS (SELECT DISTINCT r, place, span, item FROM v JOIN i USING (span, win)),
+    h AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(place, place + span - 1)) AS pos FROM m) GROUP BY r),
+    l AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": """
+    return {"op12_ranked_search": RANKED_SQL, "op13_decontamination": LEAKS_SQL, "op3_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS t FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
