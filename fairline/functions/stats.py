@@ -75,21 +75,3 @@ def hash_unit(*parts: Column) -> Column:
     text = F.concat_ws("|", *parts)
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
-
-def poisson_one(digits: Column, top: int = 9) -> Column:
-    """A Poisson(1) count from eight hex digits, by inverting the distribution function.
-
-    Eight digits are a uniform number out of 2^32. They are compared as text with the steps
-    of the distribution function, which orders them as numbers without converting them.
-    """
-    import math
-
-    cdf, term, steps = 0.0, math.exp(-1.0), []
-    for k in range(top):
-        cdf += term
-        steps.append((f"{math.ceil(cdf * 2 ** 32):08x}", k))
-        term /= k + 1
-    expr = F.lit(float(top))
-    for edge, k in reversed(steps):
-        expr = F.when(digits < edge, F.lit(float(k))).otherwise(expr)
-    return expr

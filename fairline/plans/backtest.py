@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairline import config
-from fairline.functions import markets, prices, scores, stats
+from fairline.functions import markets, prices, resampling, scores
 from fairline.operators.ordering import (best_per_key, equal_count_parts, ntile_at,
                                          rank_in_order, running)
 
@@ -221,25 +221,14 @@ def bootstrap(units: DataFrame, unit: str, by: Sequence[str] = (), samples: int
 
     Every unit draws a Poisson(1) count per replicate from the md5 of its id, so the draw
     needs no shared random state and gives the same answer on any cluster and after any
-    retry. Replicates are made on the unit's own row and summed before the shuffle: what
-    moves is (groups x replicates) rows per task, never the replicated units. One digest
-    serves four replicates. ``units`` has pnl and n.
+    retry. A task adds the draws of its units to one array of replicates per group; what
+    moves is (groups x replicates) sums per task. ``units`` has pnl and n.
     """
     by = list(by)
-    if samples < 4 or samples % 4:
-        raise ValueError("the number of replicates has to be a multiple of four")
-    rounds = units.select(*by, "pnl", "n", unit, F.explode(
-        F.sequence(F.lit(0), F.lit(samples // 4 - 1))).alias("_g"))
-    digest = rounds.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), "_g", unit)))
-    pieces = digest.withColumns({f"_x{i}": F.substring("_d", 8 * i + 1, 8) for i in range(4)})
-    drawn = pieces.withColumns({f"_k{i}": stats.poisson_one(F.col(f"_x{i}"))
-                                for i in range(4)})
-    sums = drawn.groupBy(*by, "_g").agg(*[
-        f(F.col(f"_k{i}") * F.col(c)).alias(f"{c}{i}") for i in range(4)
-        for f, c in ((F.sum, "pnl"), (F.sum, "n"))])
-    rois = sums.select(*by, F.explode(F.array(*[
-        F.try_divide(F.col(f"pnl{i}") * 100.0, F.col(f"n{i}") * F.lit(stake))
-        for i in range(4)])).alias("roi"))
+    if samples < 1:
+        raise ValueError("an interval needs replicates")
+    sums = resampling.replicate_sums(units, unit, by, samples, seed)
+    rois = sums.select(*by, F.try_divide(F.col("pnl") * 100.0, F.col("n") * F.lit(stake)).alias("roi"))
     return rois.groupBy(*by).agg(F.percentile("roi", F.lit(0.025)).alias("ci_low"),
                                  F.percentile("roi", F.lit(0.975)).alias("ci_high"))
 

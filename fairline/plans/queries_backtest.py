@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fairline import config
+from fairline.functions import resampling
 from fairline.plans import backtest, insights, selection, sql_tables as t
 from fairline.plans.registry import cte, query
 from fairline.session import stage
@@ -121,27 +123,18 @@ def tidy(df):
     return rounded(df.withColumn("pnl", F.round("pnl", 4)), 6)
 
 
-_POISSON = []
-_term, _cdf = __import__("math").exp(-1.0), 0.0
-for _k in range(9):
-    _cdf += _term
-    _POISSON.append(f"WHEN u < {_cdf!r}e0 THEN {_k}.0e0")
-    _term /= _k + 1
-_DRAW = "CASE " + " ".join(_POISSON) + " ELSE 9.0e0 END"
+_DRAW = "CASE " + " ".join(f"WHEN u < {step} THEN {k}.0e0" for k, step in enumerate(resampling.steps())) + f" ELSE {resampling.MOST}.0e0 END"
 
 
-#: Replicates in the SQL of queries that have a twin to equal; the library's default and the others' count is config.BOOTSTRAP_SAMPLES.
-SQL_SAMPLES = 400
-
-
-def boot_sql(units: str, by: str = "", samples: int = 400) -> str:
+def boot_sql(units: str, by: str = "", samples: int = config.BOOTSTRAP_SAMPLES) -> str:
     head = f"{by}, " if by else ""
     tail = f" GROUP BY {by}" if by else ""
     return f"""
 SELECT {head}quantile_cont(roi, 0.025) AS ci_low, quantile_cont(roi, 0.975) AS ci_high FROM (
- SELECT {head}g, i, sum(k * pnl) * 100 / (sum(k * n) * 10.0e0) AS roi FROM (SELECT {head}g, i, pnl, n, {_DRAW} AS k FROM (
-  SELECT {head}pnl, n, g, i, ('0x' || substr(d, 8 * i + 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 AS u FROM (
-   SELECT {head}pnl, n, g, md5('42|' || g || '|' || unit) AS d FROM {units} CROSS JOIN (SELECT unnest(range({samples // 4})) AS g)) CROSS JOIN (SELECT unnest(range(4)) AS i))) GROUP BY {head}g, i){tail}
+ SELECT {head}r, sum(k * pnl) * 100 / (sum(k * n) * 10.0e0) AS roi FROM (SELECT {head}r, pnl, n, {_DRAW} AS k FROM (
+  SELECT {head}pnl, n, r, (start + r * stride) % {resampling.WORD} AS u FROM (
+   SELECT {head}pnl, n, ('0x' || substr(d, 1, 8))::BIGINT AS start, ('0x' || substr(d, 9, 8))::BIGINT | 1 AS stride FROM (SELECT {head}pnl, n, md5('42|' || unit) AS d FROM {units}))
+  CROSS JOIN (SELECT unnest(range({samples})) AS r))) GROUP BY {head}r){tail}
 """
 
 
@@ -153,7 +146,7 @@ _VERDICT = "CASE WHEN ci_low > 0 AND n >= 200 THEN 'good' WHEN ci_low > 0 THEN '
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT {_SUM} FROM x_bets) s CROSS JOIN ({boot_sql('x_bet_units')}) b
 """)
 def backtest_summary(spark, sf):
-    out = backtest.with_interval(bets(spark, sf), samples=SQL_SAMPLES)
+    out = backtest.with_interval(bets(spark, sf))
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -161,14 +154,14 @@ def backtest_summary(spark, sf):
 SELECT round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ({boot_sql('(SELECT match_id AS unit, sum(pnl) AS pnl, CAST(count(*) AS DOUBLE) AS n FROM x_bets GROUP BY match_id)')})
 """)
 def cluster_interval(spark, sf):
-    return rounded(backtest.bootstrap(backtest.match_units(bets(spark, sf)), "unit", samples=SQL_SAMPLES), 4)
+    return rounded(backtest.bootstrap(backtest.match_units(bets(spark, sf)), "unit"), 4)
 
 
 @query("returns_by_market", "A19 A20", f"""
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT market, {_SUM} FROM x_bets GROUP BY market) s JOIN ({boot_sql('x_bet_units', 'market')}) b USING (market)
 """)
 def returns_by_market(spark, sf):
-    out = backtest.with_interval(bets(spark, sf), ["market"], SQL_SAMPLES)
+    out = backtest.with_interval(bets(spark, sf), ["market"])
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -236,7 +229,7 @@ cte("x_sweep_units", f"SELECT r.*, band, odds_min, odds_max, bet_id AS unit, 1.0
 SELECT s.*, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, {_VERDICT} FROM (SELECT band, odds_min, odds_max, {_SUM} FROM x_sweep_units GROUP BY band, odds_min, odds_max) s JOIN ({boot_sql('x_sweep_units', 'band')}) b USING (band)
 """)
 def band_sweep(spark, sf):
-    out = backtest.sweep_bands(selections(spark, sf), samples=SQL_SAMPLES)
+    out = backtest.sweep_bands(selections(spark, sf))
     return tidy(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}))
 
 
@@ -250,7 +243,7 @@ SELECT b.half, n_before, round(roi_before, 6) AS roi_before, n_after, round(roi_
 FROM (SELECT half, count(*) AS n_before, sum(pnl) / (count(*) * 10.0e0) * 100 AS roi_before FROM x_halves GROUP BY half) b JOIN (SELECT half, count(*) AS n_after, sum(pnl) / (count(*) * 10.0e0) * 100 AS roi_after FROM k GROUP BY half) a USING (half) JOIN ({boot_sql('u', 'half')}) i USING (half)
 """)
 def holdout_validation(spark, sf):
-    out = backtest.validate(bets(spark, sf), samples=SQL_SAMPLES, **FILTERS)
+    out = backtest.validate(bets(spark, sf), **FILTERS)
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")}), 6)
 
 
