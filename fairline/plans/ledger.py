@@ -118,29 +118,17 @@ def equity(ledger: DataFrame, row_id: str = "pick_id") -> DataFrame:
                    {"cum": F.col("pnl"), "position": F.lit(1).cast("long")})
 
 
-def settle_slips(slips: DataFrame, results: DataFrame, slip_id: str = "issued",
-                 resolve: bool = True) -> DataFrame:
-    """Grade slips whose every leg has been played.
-
-    Void legs drop out; a slip with an unpriced surviving leg is graded but has no profit.
-    ``slips`` carries ``leg_list``; output adds legs_won, legs_void, outcome and pnl.
-    """
-    pending = slips.filter(F.coalesce("outcome", F.lit("pending")) == "pending")
-    legs = pending.select(slip_id, F.posexplode("leg_list").alias("leg_no", "leg")).select(
-        slip_id, "leg_no", F.to_date("leg.date").alias("day"), "leg.competition", "leg.home",
-        "leg.away", "leg.key", "leg.odds")
-    found = find_results(legs.drop("odds"), results, [slip_id, "leg_no"], resolve).select(
-        slip_id, "leg_no", grade(F.col("key"), F.col("home_goals"), F.col("away_goals"),
-                                 F.col("total_corners")).alias("_out"))
+def slip_outcomes(legs: DataFrame, slip_id: str = "issued") -> DataFrame:
+    """Outcome of every slip all of whose legs are graded; ``legs`` has odds and the grade ``_out``, null while a leg waits."""
     out, odds = F.col("_out"), F.col("odds")
     alive = out.isin("won", "lost")
-    per_slip = legs.join(found, [slip_id, "leg_no"], "left").groupBy(slip_id).agg(
+    per_slip = legs.groupBy(slip_id).agg(
         F.bool_and(out.isNotNull()).alias("_done"), F.count_if(out == "won").alias("_wins"),
         F.count_if(alive).alias("_alive"), F.count_if(out == "void").alias("_void"),
         F.coalesce(F.bool_and(F.when(alive, F.coalesce(odds, F.lit(0.0)) != 0.0)),
                    F.lit(True)).alias("_priced"),
         F.product(F.when(alive, odds)).alias("_price")).filter("_done")
-    graded = per_slip.select(
+    return per_slip.select(
         slip_id, F.col("_wins").cast("int").alias("_won"), F.col("_void").cast("int"),
         F.when(F.col("_alive") == 0, "void").when(F.col("_wins") == F.col("_alive"), "won")
         .otherwise("lost").alias("_outcome"),
@@ -148,6 +136,23 @@ def settle_slips(slips: DataFrame, results: DataFrame, slip_id: str = "issued",
             F.col("_wins") == F.col("_alive"),
             (F.col("_price") - 1.0) * config.LEDGER_STAKE).otherwise(-config.LEDGER_STAKE)
         .alias("_pnl"))
+
+
+def settle_slips(slips: DataFrame, results: DataFrame, slip_id: str = "issued",
+                 resolve: bool = True) -> DataFrame:
+    """Grade slips whose every leg has been played.
+
+    Void legs drop out; a slip with an unpriced surviving leg is graded but has no profit.
+    ``slips`` carries ``leg_list``; output adds legs_won, legs_void, outcome and pnl.
+    """
+    pending = slips.filter(F.coalesce("outcome", F.lit("pending")) == "pending")
+    legs = pending.select(slip_id, F.posexplode("leg_list").alias("leg_no", "leg")).select(
+        slip_id, "leg_no", F.to_date("leg.date").alias("day"), "leg.competition", "leg.home",
+        "leg.away", "leg.key", "leg.odds")
+    found = find_results(legs.drop("odds"), results, [slip_id, "leg_no"], resolve).select(
+        slip_id, "leg_no", grade(F.col("key"), F.col("home_goals"), F.col("away_goals"),
+                                 F.col("total_corners")).alias("_out"))
+    graded = slip_outcomes(legs.join(found, [slip_id, "leg_no"], "left"), slip_id)
     joined = slips.join(graded, slip_id, "left")
     fresh = F.col("_outcome").isNotNull()
     keep = lambda new, old, t: F.when(fresh, F.col(new)).otherwise(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fairline.functions import markets, prices
+from fairline.operators import matching
 from fairline.operators.ordering import best_per_key
 from fairline.plans import ledger as book, queries_card as qc, sql_tables as t
 from fairline.plans.registry import cte, query
@@ -220,24 +221,32 @@ def folder(spark, name):
     return f"{shared_folder(spark)}/fairline/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df, name, files_per_batch=1, parts=3, order=None):
-    """Write a frame as a few files and read them back as a stream of micro-batches."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    frame = df.repartition(parts) if order is None else df.repartitionByRange(parts, order)
-    frame.write.parquet(path)
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(path))
+def as_stream(df, name, batch):
+    """The frame as a stream of micro-batches: one file for each value of the column ``batch``, written one after the
+    other, as the file source takes files in the order in which they were written."""
+    path = folder(df.sparkSession, name)
+    stored = stage(df.withColumn("_batch", batch), name)
+    for (value,) in sorted(stored.select("_batch").distinct().collect()):
+        stored.filter(F.col("_batch") == value).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def weeks(day, n=3):
+    """Blocks of n weeks since the first recorded day."""
+    return F.floor(F.datediff(day, F.lit(w.CARD_DAY).cast("date")) / (7 * n)).cast("int")
 
 
 @query("stream_ingest_quotes", "T1 U3", """
 SELECT fetched_at, competition, home, away, count(*) AS n FROM (SELECT DISTINCT fetched_at, competition, home, away FROM x_quotes) GROUP BY ALL
 """)
 def stream_ingest_quotes(spark, sf):
+    """A micro-batch a year, each with the year before sent once more; state is kept for 800 days."""
     q = w.quotes(spark, sf).select("fetched_at", "competition", "home", "away", "home_odds")
-    stream = as_stream(q, "quotes-in", 10)
+    twice = q.withColumn("_year", F.coalesce(F.year("fetched_at"), F.lit(0)))
+    twice = stage(twice.unionByName(twice.withColumn("_year", F.col("_year") + 1)), "quotes")
+    stream = as_stream(twice, "quotes-in", F.col("_year")).drop("_year")
     out = folder(spark, "quotes-out")
-    books.ingest_quotes(stream, out, folder(spark, "ck"), "36500 days").awaitTermination()
+    books.ingest_quotes(stream, out, folder(spark, "ck"), "800 days").awaitTermination()
     return spark.read.schema(q.schema).parquet(out).groupBy(
         "fetched_at", "competition", "home", "away").agg(F.count(F.lit(1)).alias("n"))
 
@@ -251,49 +260,92 @@ def stream_current_quotes(spark, sf):
                                    "home_odds", "draw_odds", "away_odds", "date",
                                    "commence_time")
     out = folder(spark, "current-out")
-    books.current_quotes(as_stream(q, "current-in"), out, folder(spark, "ck")).awaitTermination()
+    books.current_quotes(as_stream(q, "current-in", F.pmod(F.xxhash64("match_id"), F.lit(3))), out, folder(spark, "ck")).awaitTermination()
     return books.read_current(spark, out, F.expr(f"TIMESTAMP '{w.CARD_NOW}'")).select(
         "competition", "home", "away", "fetched_at", "match_id", "home_odds")
 
 
-@query("stream_record_picks", "T4 T5", f"""
+@query("stream_record_picks", "T4", f"""
 SELECT pick_id, day, band, key FROM x_ledger WHERE day >= DATE '2001-09-01'
 """)
 def stream_record_picks(spark, sf):
-    """Every pick arrives twice, the second time changed and later; the first answer stays."""
+    """Every pick arrives twice, the second time changed and in a later batch; the first answer stays."""
     rows = ledger_rows(spark, sf).drop("outcome")
     twice = rows.withColumn("arrival", F.lit(1)).unionByName(
         rows.withColumn("arrival", F.lit(2)).withColumn("key", F.lit("1x2_draw")))
-    stream = as_stream(stage(twice, "picks"), "picks-in", parts=2, order="arrival")
+    stream = as_stream(twice, "picks-in", F.col("arrival"))
     out = folder(spark, "picks-out")
     books.record_picks(stream, out, folder(spark, "ck"), ["pick_id"], ["arrival"],
                        F.lit("2001-09-01").cast("date")).awaitTermination()
     return spark.read.parquet(out).select("pick_id", "day", "band", "key")
 
 
-@query("stream_settle_picks", "T6 T8", """
-SELECT pick_id, outcome, round(pnl, 6) AS pnl FROM x_settled WHERE outcome <> 'pending' AND home = known_home
+def late_results(spark, sf):
+    """Results in blocks of three weeks, one in four of them a block late."""
+    rows = results(spark, sf)
+    return as_stream(rows, "results-in", weeks(F.col("date")) + F.when(hex_digit("late", "result_id") < 4, 1).otherwise(0))
+
+
+def feed_names(spark, sf, rows):
+    """What the spellings in ``rows`` mean: resolved against the teams of the results."""
+    known = results(spark, sf)
+    both = lambda df, name: df.select("competition", F.col("home").alias(name)).unionByName(
+        df.select("competition", F.col("away").alias(name))).distinct()
+    return stage(matching.resolve_names(both(rows, "key"), both(known, "candidate")).filter("rule <> 'none'").select("competition", "key", "resolved"), "names")
+
+
+#: Overdue in the stream: no result within a week, and the watermark (30 days behind the slower side) has passed that week.
+_GIVEN_UP = "least((SELECT max(day) FROM x_ledger), (SELECT max(date) FROM x_results)) - 30 - 7"
+
+
+@query("stream_settle_picks", "T6 T8", f"""
+SELECT pick_id, outcome, round(pnl, 6) AS pnl FROM x_settled WHERE outcome <> 'pending'
+UNION ALL SELECT pick_id, 'overdue', NULL FROM x_ledger l WHERE day < {_GIVEN_UP}
+  AND NOT EXISTS (SELECT 1 FROM x_results r WHERE r.competition = l.competition AND r.home = l.known_home AND r.away = l.away AND abs(r.date - l.day) <= 7)
 """)
 def stream_settle_picks(spark, sf):
-    """The whole ledger against results in three micro-batches; the SQL twin shows the picks under known names."""
-    recorded = stage(ledger_rows(spark, sf), "rec")
-    stream = as_stream(stage(results(spark, sf), "results"), "results-in", order="home")
-    out = folder(spark, "graded-out")
-    books.settle_picks(stream, lambda s: recorded, out, folder(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).filter(F.col("home").rlike("^team [0-9]+$")).select(
-        "pick_id", "outcome", F.round("pnl", 6).alias("pnl"))
-
-
-@query("stream_notify_changes", "T7 F18", """
-SELECT competition, mark FROM (SELECT competition, CAST(day AS VARCHAR) || '|' || competition || '|' || match || '|' || key || '|' || selection AS mark, day,
-  row_number() OVER (PARTITION BY competition ORDER BY day DESC, CAST(day AS VARCHAR) || '|' || competition || '|' || match || '|' || key || '|' || selection) AS rn FROM x_ledger WHERE band = 'main') WHERE rn = 1
+    """The whole ledger and all results as two streams, some results late: every grading of the batch job, and what is overdue."""
+    rows = stage(ledger_rows(spark, sf).drop("outcome"), "recorded")
+    out = folder(spark, "met-out")
+    books.meet_results(as_stream(rows, "recorded-in", weeks(F.col("day"))), late_results(spark, sf), feed_names(spark, sf, rows), out,
+                       folder(spark, "ck")).awaitTermination()
+    return books.read_settled(spark.read.parquet(out)).select("pick_id", "outcome", F.round("pnl", 6).alias("pnl"))
+
+
+@query("stream_settle_slips", "T5 T6", """
+SELECT issued, outcome, CAST(legs_won AS INTEGER) AS legs_won, CAST(legs_void AS INTEGER) AS legs_void, round(pnl, 6) AS pnl FROM x_slips WHERE outcome <> 'pending'
+""")
+def stream_settle_slips(spark, sf):
+    """Slips recorded as they are issued, each sent twice, and graded when the last leg's result has come."""
+    slips = slip_rows(spark, sf).drop("outcome").withColumn("day", F.to_date(F.element_at(F.split("issued", "/"), 2)))
+    twice = stage(slips.withColumn("sent", F.lit(1)).unionByName(slips.withColumn("sent", F.lit(2)).withColumn("selections", F.lit("[]"))), "slips")
+    recorded, met, graded = (folder(spark, n) for n in ("slips-out", "legs-out", "slips-graded"))
+    books.record_picks(as_stream(twice, "slips-in", weeks(F.col("day")) + F.col("sent")), recorded, folder(spark, "ck"), ["issued"], ["sent"],
+                       F.lit(w.CARD_DAY).cast("date")).awaitTermination()
+    leg = F.posexplode(readers.legs_from_json(F.col("selections"))).alias("leg_no", "leg")
+    legs = stage(spark.read.parquet(recorded).select("issued", "legs", leg).select(
+        "issued", "legs", "leg_no", F.to_date("leg.date").alias("day"), "leg.competition", "leg.home", "leg.away", "leg.key", "leg.odds"), "legs")
+    books.meet_results(as_stream(legs, "legs-in", weeks(F.col("day"))), late_results(spark, sf), feed_names(spark, sf, legs), met,
+                       folder(spark, "ck")).awaitTermination()
+    stream = spark.readStream.schema(spark.read.parquet(met).schema).option("maxFilesPerTrigger", 4).parquet(met)
+    books.grade_slips(stream, graded, folder(spark, "ck")).awaitTermination()
+    return rounded(books.read_slips(spark, graded), 6)
+
+
+_MARK = "CAST(day AS VARCHAR) || '|' || competition || '|' || match || '|' || key || '|' || selection"
+
+
+@query("stream_notify_changes", "T7 F18", f"""
+WITH n AS (SELECT competition, band, {_MARK} AS mark FROM x_ledger QUALIFY row_number() OVER (PARTITION BY competition, band ORDER BY day DESC, {_MARK}) = 1)
+SELECT competition, band, mark FROM n UNION ALL SELECT competition, band, mark || ' or draw' FROM n WHERE CAST(substr(competition, 2) AS INTEGER) % 2 = 0
 """)
 def stream_notify_changes(spark, sf):
-    """The same picks arrive in two micro-batches; only the first sends anything."""
-    rows = ledger_rows(spark, sf).filter("band = 'main'")
-    twice = rows.withColumn("round", F.lit(1)).unionByName(rows.withColumn("round", F.lit(2)))
-    stream = as_stream(stage(twice, "main"), "main-in", parts=2, order="round")
+    """All picks arrive in three micro-batches: new, unchanged, and changed for every other competition; only news is sent."""
+    rows = ledger_rows(spark, sf)
+    changed = F.when(F.substring("competition", 2, 2).cast("int") % 2 == 0, F.concat("selection", F.lit(" or draw"))).otherwise(F.col("selection"))
+    sent = [rows.withColumn("round", F.lit(i)) for i in (1, 2)] + [rows.withColumn("round", F.lit(3)).withColumn("selection", changed)]
+    stream = as_stream(readers.union_layouts(sent), "sent-in", F.col("round"))
     out = folder(spark, "sent-out")
-    books.notify_changes(stream, out, folder(spark, "ck"), ["competition"], "day"
+    books.notify_changes(stream, out, folder(spark, "ck"), ["competition", "band"], "day"
                          ).awaitTermination()
-    return spark.read.parquet(out).select("competition", "mark")
+    return spark.read.parquet(out).select("competition", "band", "mark")
