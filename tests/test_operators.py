@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables."""
 
 import datetime
+import hashlib
 import inspect
 import json
 import math
@@ -385,23 +386,54 @@ def test_stream_replay_writes_the_same_rows(spark, tmp_path):
     assert [(r.k, r.arrival) for r in got] == [("d1", 1)]
 
 
-def test_stream_settles_feed_spellings_over_micro_batches(spark, tmp_path):
+def test_streams_of_picks_and_results_meet_over_micro_batches(spark, tmp_path):
     day = datetime.date(2026, 8, 15)
-    picks = spark.createDataFrame(
-        [(i, day, "X", home, away, "1x2_home", 2.0, "pending") for i, home, away in (
-            ("exact", "leeds", "hull"), ("spelt", "leeds united", "hull"), ("later", "york", "bury town"), ("none", "ayr", "hull"))],
-        "pick_id string, day date, competition string, home string, away string, key string, odds double, outcome string")
-    columns = ("result_id string, competition string, home string, away string, date date, home_goals int, away_goals int, total_corners int")
+    after = lambda n: day + datetime.timedelta(days=n)
+    asked = "pick_id string, day date, competition string, home string, away string, key string, odds double"
+    columns = "result_id string, competition string, home string, away string, date date, home_goals int, away_goals int, total_corners int"
+    names = spark.createDataFrame([("X", "leeds united", "leeds")], "competition string, key string, resolved string")
+    pick = lambda i, home, away, on=day, key="1x2_home": (i, on, "X", home, away, key, 2.0)
+    result = lambda i, home, away, on, hg, ag: (i, "X", home, away, on, hg, ag, None)
+    batches = [
+        ([pick("exact", "leeds", "hull"), pick("spelt", "leeds united", "hull"), pick("put off", "york", "bury"), pick("corners", "york", "bury", key="corners9.5_over")],
+         [result("r1", "leeds", "hull", day, 2, 0), result("r9", "ayr", "wigan", after(-3), 1, 1)]),
+        ([pick("recorded late", "ayr", "wigan"), pick("never", "ayr", "hull")], [result("r2", "york", "bury", after(7), 0, 1)]),
+        ([pick("waits", "hull", "york", after(90))], [result("r3", "york", "bury", after(8), 5, 0), result("r4", "x", "y", after(90), 0, 0)])]
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for side in ("picks", "results"):
+        (src / side).mkdir(parents=True)
+    for picks, results in batches:
+        spark.createDataFrame(picks, asked).coalesce(1).write.mode("append").parquet(str(src / "picks"))
+        spark.createDataFrame(results, columns).coalesce(1).write.mode("append").parquet(str(src / "results"))
+        books.meet_results(spark.readStream.schema(asked).parquet(str(src / "picks")), spark.readStream.schema(columns).parquet(str(src / "results")), names, out,
+                           str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r.pick_id, r.outcome, r.result_id, r.pnl) for r in books.read_settled(spark.read.parquet(out)).collect())
+    assert got == [("exact", "won", "r1", 1.0), ("never", "overdue", None, None), ("put off", "lost", "r2", -1.0), ("recorded late", "lost", "r9", -1.0),
+                   ("spelt", "won", "r1", 1.0)]
+
+
+def test_slips_wait_for_their_last_leg_and_take_nearer_results(spark, tmp_path):
+    day = datetime.date(2026, 8, 15)
+    schema = ("issued string, legs int, leg_no int, day date, odds double, played_on date, result_id string, _out string")
+    leg = lambda slip, n, i, out, drift=0, odds=2.0: (slip, 2, n, day, odds, day + datetime.timedelta(days=drift), i, out)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(columns).parquet(src)
-    # The third batch repeats a match with another score: what is graded stays.
-    for batch in ([("r1", "X", "leeds", "hull", day, 2, 0, None)], [("r2", "X", "york", "bury", day, 0, 1, None)],
-                  [("r0", "X", "leeds", "hull", day, 0, 3, None)]):
-        spark.createDataFrame(batch, columns).coalesce(1).write.mode("append").parquet(src)
-        books.settle_picks(stream, lambda s: picks, out, str(tmp_path / "ck")).awaitTermination()
-    got = sorted((r.pick_id, r.home, r.outcome, r.batch) for r in spark.read.parquet(out).collect())
-    assert got == [("exact", "leeds", "won", 0), ("later", "york", "lost", 1), ("spelt", "leeds united", "won", 0)]
+    seen = []
+    for batch in ([leg("a", 0, "r1", "won"), leg("b", 0, "r2", "won", 3), leg("b", 1, "r3", "won"), leg("c", 0, None, None)],
+                  [leg("a", 1, "r4", "void"), leg("b", 0, "r5", "lost", 1)], [leg("c", 0, "r6", "won"), leg("c", 1, "r7", None)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        books.grade_slips(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck")).awaitTermination()
+        seen.append(sorted((r.issued, r.outcome, r.legs_won, r.legs_void, r.pnl) for r in books.read_slips(spark, out).collect()))
+    assert seen == [[("b", "won", 2, 0, 3.0)], [("a", "won", 1, 1, 1.0), ("b", "lost", 1, 0, -1.0)], [("a", "won", 1, 1, 1.0), ("b", "lost", 1, 0, -1.0)]]
+
+
+def test_recording_opens_only_the_days_it_brings(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{d}", datetime.date(2026, 8, d), 1) for d in range(1, 9)], "k string, day date, arrival int")
+    books._write_batch(rows, str(tmp_path), 0, ["day"])
+    stored = books.of_days(books.read_batches(spark, str(tmp_path), rows.schema, before=1), rows.filter("day > '2026-08-06'"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "day" in filters and "batch" in filters and {r.k for r in stored.collect()} == {"k7", "k8"}
 
 
 # -- files and plans ---------------------------------------------------------------------------
@@ -433,6 +465,28 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert row.ci_high == pytest.approx(np.percentile(draws, 97.5), abs=1.0)
 
 
+def test_dense_replicates_equal_drawn_units(spark):
+    from fairline.functions import resampling
+
+    rng = np.random.default_rng(4)
+    data = [(None if i % 3 == 0 else "ab"[i % 2], i % 5, f"u{i}", round(float(v), 2), float(1 + i % 2)) for i, v in enumerate(rng.normal(0, 10, 700))]
+    df = spark.createDataFrame(data, "g string, h int, unit string, pnl double, n double").repartition(3)
+    got = {(r.g, r.h, r.replicate): (r.pnl, r.n) for r in resampling.replicate_sums(df, "unit", ["g", "h"], 30, 42).collect()}
+    want = {}
+    for g, h, unit, pnl, n in data:
+        digest = hashlib.md5(f"42|{unit}".encode()).hexdigest()
+        start, stride = int(digest[:8], 16), int(digest[8:16], 16) | 1
+        for r in range(30):
+            u = (start + r * stride) % 2 ** 32 / 2 ** 32
+            cdf, k = math.exp(-1), 0
+            while u >= cdf and k < 9:
+                k += 1
+                cdf += math.exp(-1) / math.factorial(k)
+            old = want.get((g, h, r), (0.0, 0.0))
+            want[g, h, r] = (old[0] + k * pnl, old[1] + k * n)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
+
+
 def test_intervals_rest_on_all_the_replicates_by_default(spark):
     rng = np.random.default_rng(11)
     df = spark.createDataFrame([(str(i), float(v), 1.0) for i, v in enumerate(rng.normal(0.5, 10, 200))],
