@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from fairline.llm.cleaning import repeated_words
 from fairline.llm.text import KEY, TEXT, Memo, key_type, map_batches, once, slices
+from fairline.session import stage
 
 WORD_BITS = 14
 STEPS = 12          # of each statistic, one feature per step
 RANK = 8
 SAMPLE_ROWS = 6_000  # the most labelled rows that the fit reads
-SAMPLE_WORDS = 4_000  # the most distinct hashed words of a row in the fit; scoring uses all of a text
+SAMPLE_BYTES = 64_000_000  # features of the sampled rows in the fit, 8 bytes each: rows are taken whole, by hash, until they reach it
 ROUNDS, RATE, DECAY = 60, 0.08, 1e-4
 STATISTICS = ("words", "word_length", "distinct", "repeated", "stuttered", "dup_lines", "ended_lines", "symbols", "bars", "shouts",
               "capitals", "digits", "line_words")
@@ -146,9 +147,12 @@ def chosen(rows: DataFrame, key: str, text: str, metadata: tuple[str, ...]) -> D
 
 
 def fit(rows: DataFrame, labels: DataFrame, key: str = KEY, text: str = TEXT, label: str = "label", metadata: tuple[str, ...] = (),
-        sample_rows: int = SAMPLE_ROWS) -> Machine:
+        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Machine:
     """Fit the machine on at most ``sample_rows`` of the labelled rows (label 0 or 1), those whose keys hash lowest.
 
+    Sampled rows are taken whole, in the order of a hash, for as long as their features fit ``sample_bytes`` (one
+    row always is), which is what bounds the driver; no row's words are cut. Null texts count as empty.
+
     Rows without a label and labels that are null take no part; a key labelled twice counts once, with its higher label.
     With no labelled row at all the machine scores everything 0.5.
     """
@@ -168,16 +172,18 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = KEY, text: str = TEXT, la
                 parts = []
                 for i in range(b - a):
                     f, v = feature[starts[i]:starts[i + 1]], value[starts[i]:starts[i + 1]]
-                    if len(f) > SAMPLE_WORDS:
-                        top = np.sort(np.argsort(-v, kind="stable")[:SAMPLE_WORDS])
-                        f, v = f[top], v[top]
                     parts.append((f.astype("<i4").tobytes(), v.astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(marks_[a:b], pa.int32()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
                     names=["mark", "feature", "value"])
 
-    found = (map_batches(texts, step, "mark int, feature binary, value binary")
-             .orderBy(F.xxhash64("feature", "value"), "mark").limit(sample_rows).collect())
+    order = (F.xxhash64("feature", "value"), "mark")
+    sample = stage(map_batches(texts, step, "mark int, feature binary, value binary").orderBy(*order).limit(sample_rows)
+                   .withColumn("place", F.monotonically_increasing_id()), "quality-sample")
+    sizes = sample.select("place", F.octet_length("feature") + F.octet_length("value")).orderBy("place").collect()  # at most ``sample_rows`` numbers
+    ends = np.cumsum([size for _, size in sizes])
+    taken = max(int(np.searchsorted(ends, sample_bytes, side="right")), 1)
+    found = sample.where(F.col("place") <= sizes[taken - 1][0]).orderBy("place").collect() if sizes else []
     n_all = n_features(len(metadata))
     if not found:
         return Machine(0.0, np.zeros(n_all), np.zeros((n_all, RANK)))
