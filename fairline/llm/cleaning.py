@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
-from fairline.llm.text import KEY, SPACES, TEXT, key_type, keyed, map_batches
+from fairline.llm.text import KEY, SPACES, TEXT, key_type, keyed, map_batches, numbered
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -120,14 +121,17 @@ def clean(rows: DataFrame, key: str = KEY, text: str = TEXT) -> DataFrame:
 
 
 def keep(rows: DataFrame, text: str = TEXT) -> DataFrame:
-    """The rows whose text :func:`clean` keeps, all columns, with the clean text in place of the text."""
+    """The rows whose text :func:`clean` keeps, all columns, with the clean text in place of the text.
+
+    Null and empty texts fail and go; repeated rows are judged each; columns may have any name and type.
+    """
     columns, at = rows.columns, rows.columns.index(text)
+    schema = StructType([StructField(f"c{i}", StringType() if i == at else f.dataType) for i, f in enumerate(rows.schema)])
 
     def step(batches):
         for batch in batches:
             found = [inspect(t or "") for t in batch.column(at).to_pylist()]
             fields = [pa.array([f[-1] for f in found], pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(fields, names=columns).filter(pa.array([f[6] for f in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(fields, names=schema.names).filter(pa.array([f[6] for f in found], pa.bool_()))
 
-    schema = ", ".join(f"`{c}` {'string' if c == text else key_type(rows, c)}" for c in columns)
-    return map_batches(rows, step, schema)
+    return map_batches(numbered(rows), step, schema).toDF(*columns)

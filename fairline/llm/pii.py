@@ -9,8 +9,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from fairline.llm.text import KEY, SPACES, TEXT, key_type, keyed, map_batches
+from fairline.llm.text import KEY, SPACES, TEXT, keyed, map_batches, numbered
 from fairline.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -214,9 +215,8 @@ def scan(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(span)), pa.array(hints, pa.list_(hint))],
                                              names=["rest", "base", "hints"])
 
-    return map_batches(rows.select("rest", "text"), step,
-                       f"rest {key_type(rows, 'rest')}, base {SPANS}, "
-                       "hints array<struct<kind string, pattern string, instance string, start int, stop int>>")
+    found = StructType.fromDDL(f"base {SPANS}, hints array<struct<kind string, pattern string, instance string, start int, stop int>>")
+    return map_batches(rows.select("rest", "text"), step, StructType([rows.schema["rest"], *found]))
 
 
 def bootstrap(hints: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -296,21 +296,24 @@ def find(rows: DataFrame, key: str = KEY, text: str = TEXT, rounds: int = ROUNDS
 
 
 def redact(rows: DataFrame, text: str = TEXT, rounds: int = ROUNDS) -> DataFrame:
-    """``rows`` with every span of :func:`find` in the text replaced by its kind, as <EMAIL>; null texts become empty."""
-    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("rest"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    found = spans_of(whole, rounds)
+    """``rows`` with every span of :func:`find` in the text replaced by its kind, as <EMAIL>.
 
+    Null texts become empty; repeated rows are kept; columns may have any name and type.
+    """
     columns, at = rows.columns, rows.columns.index(text)
+    whole = numbered(rows)
+    whole = whole.select(F.struct(*whole.columns).alias("rest"), F.coalesce(F.col(f"c{at}").cast("string"), F.lit("")).alias("text"))
+    found = spans_of(whole, rounds)
+    schema = StructType([StructField(f"c{i}", StringType() if i == at else f.dataType) for i, f in enumerate(rows.schema)])
 
     def step(batches):
         for batch in batches:
             held = batch.column(0)
             texts = [mask(t or "", s) if s else t or "" for t, s in zip(held.field(at).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             fields = [pa.array(texts, pa.string()) if i == at else held.field(i) for i in range(held.type.num_fields)]
-            yield pa.RecordBatch.from_arrays(fields, names=columns)
+            yield pa.RecordBatch.from_arrays(fields, names=schema.names)
 
-    schema = ", ".join(f"`{c}` {'string' if c == text else key_type(rows, c)}" for c in columns)
-    return map_batches(found.select("rest", "spans"), step, schema)
+    return map_batches(found.select("rest", "spans"), step, schema).toDF(*columns)
 
 
 def written(spans):

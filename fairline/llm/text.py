@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fairline.session import ship_package
 
@@ -38,7 +39,7 @@ def keyed(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
-def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand on the workers."""
     ship_package(rows.sparkSession)
     return rows.mapInArrow(step, schema)
@@ -48,6 +49,11 @@ def key_type(rows: DataFrame, key: str) -> str:
     return rows.schema[key].dataType.simpleString()
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The columns named by position, so that no name can clash, need quoting or mean a field of another."""
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+
+
 def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterable[tuple[int, int]]:
     """(from, to) over ``texts``, each with about ``most`` characters; a longer text stands alone."""
     start = held = 0
