@@ -311,8 +311,11 @@ def coverage_table(spark, sf):
 
 
 def upcoming_value(spark, sf):
-    rows = selections(spark, sf).filter(F.col("date") >= F.lit(w.CARD_DAY).cast("date"))
-    return rows.select("match_id", "market", "outcome", "odds", "edge", F.lit(True).alias("known"),
+    """Selections of the coming matches; a match that no fit could price, its teams not being in it, is not known."""
+    from_day = F.col("date") >= F.lit(w.CARD_DAY).cast("date")
+    coming = dataset(spark, sf).filter(from_day).select("match_id")
+    rows = coming.join(selections(spark, sf).filter(from_day), "match_id", "left")
+    return rows.select("match_id", "market", "outcome", "odds", "edge", F.col("market").isNotNull().alias("known"),
                        (F.col("odds").between(1.6, 2.5) & (F.col("edge") >= 0.03))
                        .alias("qualifies"))
 

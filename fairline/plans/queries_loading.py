@@ -349,17 +349,37 @@ def append_snapshots(spark, sf):
     return readers.append_snapshots(q.filter("stored"), q.filter("NOT stored"))
 
 
-@query("team_keys", "F1 F2 U4", f"""
+_TEAM_KEYS = f"""
 SELECT DISTINCT raw, coalesce(a.v, k) AS key FROM (
   SELECT raw, regexp_replace(regexp_replace(t, '^((fc|afc|sc|real club|ud|club) )+([a-z0-9])', '\\3'), '([a-z0-9])( (fc|afc|sc|ud|cf))+$', '\\1') AS k
   FROM (SELECT raw, trim(regexp_replace(replace(strip_accents(lower(raw)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS t FROM x_raw_names))
 LEFT JOIN (VALUES ('spurs', 'tottenham hotspur'), ('koln', 'fc koln')) a(n, v) ON a.n = k
-""")
+"""
+
+
+@query("team_keys", "F1 U4", _TEAM_KEYS)
 def team_keys(spark, sf):
     raw = raw_names(spark, sf)
     return raw.select("raw", names.normalize(F.col("raw")).alias("key")).distinct()
 
 
+@query("canonical_teams", "F2 F1", f"SELECT raw, key AS home_team, key AS away_team FROM ({_TEAM_KEYS})")
+def canonical_teams(spark, sf):
+    """Both team columns of a table put under their keys; a column that isn't there is passed over."""
+    raw = raw_names(spark, sf).withColumns({"home_team": F.col("raw"), "away_team": F.col("raw")})
+    return names.canonicalize(raw, ("home_team", "away_team", "venue")).select("raw", "home_team", "away_team").distinct()
+
+
+@query("history_before", "P4", """
+SELECT competition, count(*) AS known, max(date) AS last FROM x_matches WHERE date < DATE '1998-06-01' + CAST(substr(competition, 2) AS INTEGER) GROUP BY competition
+""")
+def history_before(spark, sf):
+    """What each competition knew at its own cut: strictly earlier days only."""
+    cut = F.date_add(F.lit("1998-06-01").cast("date"), F.substring("competition", 2, 2).cast("int"))
+    known = w.matches(spark, sf).filter(dates.before(F.col("date"), cut))
+    return known.groupBy("competition").agg(F.count(F.lit(1)).alias("known"), F.max("date").alias("last"))
+
+
 cte("x_raw_names", """
 SELECT CASE p_partkey % 6 WHEN 0 THEN 'FC ' || upper(p_name) WHEN 1 THEN 'AFC ' || replace(p_name, 'e', 'é') || ' F.C.'
   WHEN 2 THEN p_name || ' & ' || p_type || ' UD' WHEN 3 THEN CASE WHEN p_size > 25 THEN 'Spurs' ELSE '1 Köln' END

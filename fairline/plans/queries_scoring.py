@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from fairline.operators import quality
 from fairline.operators.quantiles import exact_quantiles, steps
 from fairline.plans import calibration, evaluation, queries_pricing as qp, sql_tables as t
 from fairline.plans.registry import CTES, cte, query
-from fairline.session import stage
-from fairline.sources import warehouse as w
+from fairline.session import shared_folder, stage
+from fairline.sources import sinks, textfiles, warehouse as w
 from fairline.sources.sinks import rounded
 
 
@@ -258,18 +259,34 @@ FROM x_vals v LEFT JOIN lo ON lo.k = v.fold AND lo."group" = v."group" ASOF LEFT
 """)
 
 
-@query("calibrator_knots", "R8 W11 S17", """
+_KNOTS = """
 SELECT CAST(k AS INTEGER) AS k, "group", CAST(i - 1 AS INTEGER) AS knot, round(x, 6) AS x, round(fit, 6) AS y FROM x_knots
 UNION ALL SELECT CAST(t.k AS INTEGER), t."group", CAST(v.knot AS INTEGER), v.x, v.x FROM (SELECT DISTINCT k, "group" FROM x_train) t CROSS JOIN (VALUES (0, 0.0e0), (1, 1.0e0)) v(knot, x)
 WHERE NOT EXISTS (SELECT 1 FROM x_knots n WHERE n.k = t.k AND n."group" = t."group")
-""")
-def calibrator_knots(spark, sf):
+"""
+
+
+def production_knots(spark, sf):
     values = graded(spark, sf)
     later = lambda df: df.filter("fold < 5").withColumn(
         "k", F.explode(F.sequence(F.col("fold") + 1, F.lit(5)))).drop("fold")
     learned = calibration.fit(values, ["k", "group"], expand=later,
                               source_by=["fold", "group"])
-    return calibration.to_rows(learned, ["k", "group"]).drop("n")
+    return calibration.to_rows(learned, ["k", "group"])
+
+
+@query("calibrator_knots", "R8 W11 S17", _KNOTS)
+def calibrator_knots(spark, sf):
+    return production_knots(spark, sf).drop("n")
+
+
+@query("calibrator_files", "S17 S14", _KNOTS)
+def calibrator_files(spark, sf):
+    """Calibrators stored as JSON lines, loaded as curves, and taken apart again."""
+    path = f"{shared_folder(spark)}/fairline/calibrators-{uuid.uuid4().hex}"
+    sinks.write_json_rows(production_knots(spark, sf), path, 6)
+    loaded = textfiles.sound(textfiles.read_book(spark, path, "k int, group string, n bigint, knot int, x double, y double", "json"))
+    return calibration.to_rows(calibration.from_rows(loaded, ["k", "group"]), ["k", "group"]).drop("n")
 
 
 @query("walk_forward_calibration", "R9 J13 F17", """

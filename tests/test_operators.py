@@ -15,7 +15,7 @@ from fairline.functions import dates, fits, markets, names, prices, scores, stat
 from fairline.operators import matching, ordering, quality, quantiles
 from fairline.plans import backtest, calibration, insights, ledger, model, selection
 from fairline.session import stage
-from fairline.sources import layouts, readers
+from fairline.sources import layouts, readers, textfiles
 from fairline.streaming import books
 
 
@@ -447,6 +447,29 @@ def test_quote_files_with_different_headers(spark, tmp_path):
     assert rows == {"x": (1.5, None, 21), "y": (None, 1.9, 22)}
 
 
+def test_books_keep_unreadable_rows_apart(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("day,prob,n,note\n2026-08-14,0.5,3,fine\n2026-08-15,zero,x,two cells\n2026-08-16,0.25\n,,4.0,\"a, b\"\n1,2,3,4,5,6\n")
+    (tmp_path / "csv" / "b.csv").write_text("n,day,extra\n7,2026-08-17,z\n")
+    schema = "day string, prob double, n int, note string, gone double"
+    found = textfiles.read_book(spark, str(tmp_path / "csv"), schema)
+    rows = sorted((r._problem or "", r.day or "", r.prob, r.n, r.note, r.gone) for r in found.collect() if r._problem != "line")
+    assert rows == [("", "", None, 4, "a, b", None), ("", "2026-08-14", 0.5, 3, "fine", None), ("", "2026-08-17", None, 7, None, None),
+                    ("prob,n", "2026-08-15", None, None, "two cells", None)]
+    assert sorted(r._line for r in textfiles.broken(found).collect() if r._line) == ["1,2,3,4,5,6", "2026-08-16,0.25"]
+    assert textfiles.sound(found).columns == ["day", "prob", "n", "note", "gone"]
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"day": "2026-08-14", "prob": 0.5, "n": 3.0}\n{"day": "2026-08-15", "prob": "x"}\n{broken\n')
+    got = textfiles.read_book(spark, str(tmp_path / "json"), schema, "json")
+    assert sorted((r._problem or "", r.prob or 0.0, r.n or 0) for r in got.collect()) == [("", 0.5, 3), ("line", 0.0, 0), ("prob", 0.0, 0)]
+    table = spark.createDataFrame([("a", 1.23456789, None), (None, None, 2)], "day string, prob double, n int")
+    textfiles.write_csv(table, str(tmp_path / "out"))
+    back = textfiles.sound(textfiles.read_book(spark, str(tmp_path / "out"), "day string, prob double, n int"))
+    assert sorted(map(tuple, back.collect()), key=str) == [("a", 1.23457, None), (None, None, 2)]
+    with pytest.raises(ValueError):
+        textfiles.read_book(spark, str(tmp_path / "out"), schema, "xml")
+
+
 def test_price_ladder():
     both = ["MaxCH", "MaxCD", "MaxCA", "AvgCH", "AvgCD", "AvgCA", "B365H", "B365D", "B365A"]
     assert layouts.pick_price_columns(both)[2] == "closing"
