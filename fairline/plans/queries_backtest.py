@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from fairline import config
 from fairline.functions import resampling
@@ -276,13 +276,16 @@ def edge_deciles(spark, sf):
     return tidy(insights.edge_deciles(bets(spark, sf)))
 
 
-@query("random_benchmark", "A22", """
+cte("x_random", """
 WITH l AS (SELECT match_id, list_filter([{'o': home_odds, 'w': home_goals > away_goals}, {'o': draw_odds, 'w': home_goals = away_goals}, {'o': away_odds, 'w': home_goals < away_goals}], lambda x: x.o BETWEEN 1.6 AND 2.5) AS legs
   FROM x_backtest),
 r AS (SELECT g * 4 + i AS rep, avg(CASE WHEN legs[k].w THEN legs[k].o - 1 ELSE -1.0e0 END) * 100 AS roi, count(*) AS n FROM (
   SELECT g, i, legs, CAST(floor(('0x' || substr(md5('5|' || g || '|' || match_id), 8 * i + 1, 8))::BIGINT::DOUBLE / 4294967296.0e0 * len(legs)) AS INTEGER) + 1 AS k FROM l CROSS JOIN (SELECT unnest(range(50)) AS g) CROSS JOIN (SELECT unnest(range(4)) AS i) WHERE len(legs) > 0) GROUP BY rep)
-SELECT max(n) AS matches, round(avg(roi), 5) AS random_roi FROM r
+SELECT max(n) AS matches, avg(roi) AS random_roi FROM r
 """)
+
+
+@query("random_benchmark", "A22", "SELECT matches, round(random_roi, 5) AS random_roi FROM x_random")
 def random_benchmark(spark, sf):
     return rounded(insights.random_returns(dataset(spark, sf)), 5)
 
@@ -305,6 +308,56 @@ def all_findings(spark, sf):
     return out.select("id", "state", "stat", F.to_json("evidence").alias("evidence"))
 
 
+_ROI = "CAST(sum(CAST(pnl AS DECIMAL(18, 4))) AS DOUBLE) / (count(*) * 10.0e0) * 100"
+_BRIER = {x: "avg(" + " + ".join(f"pow({x}_{s} - CASE WHEN actual = '{s}' THEN 1 ELSE 0 END, 2)" for s in insights.SIDES) + ")" for x in ("model", "market")}
+_SAFE = "coalesce(CASE WHEN isnan({0}) THEN 0 ELSE {0} END, 0)"
+cte("x_cal_bins", """
+SELECT floor((p - 0.05e0) / (0.6e0 / 6)) AS bin, count(*) AS n, avg(p) AS predicted, avg(y) AS observed FROM (
+ SELECT unnest([{'p': model_home, 'y': CASE WHEN actual = 'home' THEN 1.0e0 ELSE 0 END}, {'p': model_draw, 'y': CASE WHEN actual = 'draw' THEN 1.0e0 ELSE 0 END}, {'p': model_away, 'y': CASE WHEN actual = 'away' THEN 1.0e0 ELSE 0 END}], recursive := true) FROM x_preds)
+WHERE p >= 0.05 AND p < 0.65 GROUP BY bin HAVING count(*) >= 30
+""")
+cte("x_deciles", f"""
+WITH e AS (SELECT list_sort(list_distinct(quantile_cont(edge, [{', '.join(f'{i / 10:.17e}' for i in range(11))}]))) AS e FROM x_bets),
+d AS (SELECT decile, count(*) AS n, {_ROI} AS roi FROM (SELECT x.*, greatest(len(list_filter(e, lambda v: v < edge)), 1) AS decile FROM x_bets x CROSS JOIN e) GROUP BY decile)
+SELECT n, roi, row_number() OVER (ORDER BY decile) AS i, greatest(count(*) OVER () // 3, 1) AS third, count(*) OVER () AS k FROM d
+""")
+cte("x_filtered", "SELECT * FROM x_halves WHERE competition <> 'C05' AND edge < 0.08")
+cte("x_half_units", "SELECT half, match_id AS unit, sum(pnl) AS pnl, CAST(count(*) AS DOUBLE) AS n FROM x_filtered GROUP BY half, match_id")
+
+
+@query("insight_states", "R17 K7 R16 A17 A19 A22 A23 A24 A25 A26", f"""
+WITH a AS (SELECT count(*) AS n, {_ROI} AS roi FROM x_bets),
+f AS (
+SELECT 1 AS ord, 'random-benchmark' AS id, CASE WHEN roi - random_roi < 0 THEN 'critical' ELSE 'good' END AS state, roi - random_roi AS stat FROM a CROSS JOIN x_random WHERE n > 0 AND matches >= 100
+UNION ALL SELECT 2, 'model-vs-market', CASE WHEN m < k THEN 'good' ELSE 'critical' END, (m - k) / k * 100 FROM (SELECT {_BRIER['model']} AS m, {_BRIER['market']} AS k FROM x_preds HAVING count(*) > 0)
+UNION ALL SELECT 3, 'holdout', CASE WHEN gain > 0 AND ci_low > 0 THEN 'good' WHEN gain > 0 THEN 'warning' ELSE 'critical' END, gain FROM (
+  SELECT b.half, coalesce(a.roi, 0) - b.roi AS gain, ci_low FROM (SELECT half, {_ROI} AS roi FROM x_halves GROUP BY half) b LEFT JOIN (SELECT half, {_ROI} AS roi FROM x_filtered GROUP BY half) a USING (half)
+  LEFT JOIN ({boot_sql('x_half_units', 'half')}) USING (half)) WHERE half = 'test' AND (SELECT count(DISTINCT half) FROM x_halves) = 2
+UNION ALL SELECT 4, 'edge-deciles', CASE WHEN low > high THEN 'warning' ELSE 'neutral' END, high - low FROM (
+  SELECT sum(roi) FILTER (WHERE i <= third) / max(third) AS low, sum(roi) FILTER (WHERE i > k - third) / max(third) AS high FROM x_deciles HAVING sum(n) >= 300)
+UNION ALL SELECT 5, 'edge-reliability', CASE WHEN c > 0.5 THEN 'good' ELSE 'warning' END, c FROM (SELECT {_SAFE.format('corr(i, roi)')} AS c FROM (
+  SELECT bucket, {_ROI} AS roi, CAST(row_number() OVER (ORDER BY bucket) AS DOUBLE) AS i FROM (
+   SELECT *, CASE WHEN edge < 0.05 THEN 0 WHEN edge < 0.08 THEN 1 WHEN edge < 0.12 THEN 2 ELSE 3 END AS bucket FROM x_bets WHERE edge < 1) GROUP BY bucket) HAVING count(*) >= 3) CROSS JOIN a WHERE n >= 40
+UNION ALL SELECT 6, 'band-sensitivity', CASE WHEN c > 0 THEN 'good' ELSE 'warning' END, c FROM (SELECT {_SAFE.format('corr(width, roi)')} AS c FROM (
+  SELECT odds_max - odds_min AS width, {_ROI} AS roi FROM x_sweep_units GROUP BY band, odds_min, odds_max) HAVING count(*) >= 3)
+UNION ALL SELECT 7, 'market-split', CASE WHEN bool_or(ci_low > 0) THEN 'good' ELSE 'neutral' END, CAST(count(*) AS DOUBLE) FROM ({boot_sql('x_bet_units', 'market')}) HAVING count(*) >= 2
+UNION ALL SELECT 8, 'calibration', CASE WHEN gap < 2 THEN 'good' WHEN gap < 4 THEN 'warning' ELSE 'critical' END, gap FROM (SELECT sum(abs(observed - predicted) * n) / sum(n) * 100 AS gap FROM x_cal_bins HAVING count(*) > 0)
+UNION ALL SELECT 9, 'stability', CASE WHEN spread < 10 THEN 'good' WHEN spread < 25 THEN 'warning' ELSE 'critical' END, spread FROM (SELECT max(roi) - min(roi) AS spread FROM (
+  SELECT period, count(*) AS n, {_ROI} AS roi FROM (SELECT *, ntile(4) OVER ({_BET_ORDER}) AS period FROM x_bets) GROUP BY period) HAVING sum(n) >= 40)
+UNION ALL SELECT 10, 'outcome-split', CASE WHEN share > 70 THEN 'warning' ELSE 'neutral' END, share FROM (SELECT max(s.n) / max(a.n) * 100.0e0 AS share FROM (
+  SELECT lower(outcome) AS side, count(*) AS n FROM x_bets WHERE lower(outcome) IN ('home', 'draw', 'away') GROUP BY side) s CROSS JOIN a HAVING count(*) >= 2)
+UNION ALL SELECT 11, 'by-competition', 'neutral', CAST(count(*) FILTER (WHERE n >= 10 AND roi > 0) AS DOUBLE) FROM (SELECT competition, count(*) AS n, {_ROI} AS roi FROM x_bets GROUP BY competition)
+  HAVING count(*) >= 2 AND count(*) FILTER (WHERE n >= 10) >= 2)
+SELECT CAST(row_number() OVER (ORDER BY CASE state WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'neutral' THEN 2 ELSE 3 END, ord) AS INTEGER) AS place, id, state, round(stat, 4) AS stat FROM f
+""")
+def insight_states(spark, sf):
+    """The place, state and number of every finding, most decisive first."""
+    rows = stage(insights.ranked(findings(spark, sf)).select("id", "state", F.round("stat", 4).alias("stat"), "severity"), "findings")
+    declared = F.array_position(F.array(*[F.lit(i) for i in insights.ORDER]), F.col("id"))
+    order = Window.orderBy("severity", declared)  # as many rows as there are findings
+    return rows.select(F.row_number().over(order).alias("place"), "id", "state", "stat")
+
+
 @query("coverage_table", "S13 R16", "SELECT competition, count(*) AS matches, min(date) AS first, max(date) AS last FROM x_backtest GROUP BY competition")
 def coverage_table(spark, sf):
     return readers.coverage(dataset(spark, sf))
