@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from fairline import config
@@ -191,6 +193,35 @@ def implied_reprices(spark, sf):
     return rounded(again.select("match_id", "p_home", "p_draw", "p_away"), 4)
 
 
+@query("implied_optimum", "R7 R6", f"""
+WITH n AS (SELECT competition, date, sum(n) OVER (PARTITION BY competition ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_train FROM (SELECT competition, date, count(*) AS n FROM x_matches GROUP BY ALL))
+SELECT m.competition, count(*) AS lines, CAST(0 AS BIGINT) AS off
+FROM x_matches m JOIN n USING (competition, date) JOIN x_power p ON p.match_id = m.match_id
+WHERE n_train >= 200 AND (coalesce({t.sane('over25_odds_cons', 'under25_odds_cons')}, false) OR coalesce({t.sane('over25_odds', 'under25_odds')}, false)) GROUP BY m.competition
+""")
+def implied_optimum(spark, sf):
+    """With a price for totals, no fitted line can be improved: along each parameter the squared error of the four
+    probabilities, priced anew in SQL functions, is level, or falls only beyond the parameter's bound."""
+    h, fitted = 1e-4, ("lam_market", "mu_market", "rho_market")
+    p = predictions(spark, sf).filter("q_home IS NOT NULL AND has_totals").select(
+        "match_id", "competition", *fitted, "q_home", "q_draw", "q_away", "q_over")
+    moves = [(d, s) for d in range(3) for s in (-h, h)]
+    moved = p.select("*", F.inline(F.array(*[F.struct(
+        F.lit(d).alias("d"), F.lit(s).alias("s"), *[
+            (F.col(c) if i != d else F.col(c) + s if i == 2 else F.col(c) * float(math.exp(s))).alias(c[:-7]) for i, c in enumerate(fitted)])
+        for d, s in moves])))
+    again = scores.outcome_columns(moved, "lam", "mu", "rho")
+    error = sum((F.col(f"p_{x}") - F.col(f"q_{x}")) * (F.col(f"p_{x}") - F.col(f"q_{x}")) for x in ("home", "draw", "away", "over"))
+    cost = again.withColumn("cost", error).groupBy("match_id", "competition", "d", *fitted).agg(
+        (F.sum(F.signum("s") * F.col("cost")) / (2 * h)).alias("slope"))
+    value = F.when(F.col("d") == 0, F.col("lam_market")).when(F.col("d") == 1, F.col("mu_market")).otherwise(F.col("rho_market"))
+    low, high = (F.when(F.col("d") == 2, x).otherwise(y) for x, y in ((-0.2, 0.05), (0.2, 8.0)))
+    held = ((value <= low + 1e-6) & (F.col("slope") > 0)) | ((value >= high - 1e-6) & (F.col("slope") < 0))
+    off = F.max(F.when(~held & (F.abs("slope") > 1e-5), 1).otherwise(0))
+    return cost.groupBy("match_id", "competition").agg(off.alias("off")).groupBy("competition").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("off").cast("long").alias("off"))
+
+
 @query("priced_fixtures", "R13 J1 J4 S20 J13")
 def priced_fixtures(spark, sf):
     """Upcoming fixtures priced end to end: fits, names, line fit, fusion, calibrators."""

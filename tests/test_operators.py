@@ -470,6 +470,20 @@ def test_books_keep_unreadable_rows_apart(spark, tmp_path):
         textfiles.read_book(spark, str(tmp_path / "out"), schema, "xml")
 
 
+def test_rows_of_a_batch_are_fitted_as_if_alone():
+    rng = np.random.default_rng(9)
+    lam, mu, rho = rng.uniform(0.4, 3.0, 40), rng.uniform(0.3, 2.5, 40), rng.uniform(-0.15, 0.15, 40)
+    home, away, draw, over = fits.outcome_probs(lam, mu, rho).T
+    over[::3] = np.nan
+    start = np.full(40, 1.3)
+    asked = (home, draw, away, over, np.where(np.isnan(over), rho, 0.0), start, start)
+    whole = fits.implied_means(*asked)
+    for i in range(40):
+        alone = fits.implied_means(*(a[i:i + 1] for a in asked))
+        assert all(np.allclose(w[i], a[0], atol=1e-9) for w, a in zip(whole, alone))
+    assert whole[3].max() < 1e-6 and np.allclose(whole[0], lam, atol=1e-4)
+
+
 def test_price_ladder():
     both = ["MaxCH", "MaxCD", "MaxCA", "AvgCH", "AvgCD", "AvgCA", "B365H", "B365D", "B365A"]
     assert layouts.pick_price_columns(both)[2] == "closing"
