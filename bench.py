@@ -30,6 +30,7 @@ STEPS = (
     "refit_schedule",
     "backtest_bets",            # ratio strengths, markets, edges
     "backtest_summary",         # with the bootstrap interval
+    "insights",                 # all findings, three intervals among them
     "walk_forward_coverage",    # all likelihood refits and line fits
     "settle_picks",
 )
