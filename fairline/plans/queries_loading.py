@@ -436,7 +436,35 @@ def resolve_names(spark, sf):
     return matching.resolve_names(feed, teams)
 
 
-@query("map_names", "J5")
+cte("x_part_names", """
+SELECT p_partkey, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key
+FROM (SELECT p_partkey, p_name || ' ' || lower(p_brand) AS name FROM part)
+""")
+cte("x_misspelt", """
+SELECT DISTINCT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM (
+  SELECT CASE p_partkey % 4 WHEN 0 THEN upper(name) WHEN 1 THEN replace(name, 'd', 't') WHEN 2 THEN reverse(name) ELSE substr(name, 2) END AS name FROM x_part_names)
+""")
+
+#: The longest common string of x and y as 1000 * length - first place in x.
+_LONGEST = """list_max(flatten(list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) - i + 2), lambda k:
+  CASE WHEN contains(y, substr(x, CAST(i AS INTEGER), CAST(k AS INTEGER))) THEN k * 1000 - i ELSE 0 END))))"""
+
+
+@query("map_names", "J5", f"""
+WITH RECURSIVE targets AS (SELECT key, min(name) AS target FROM x_part_names GROUP BY key),
+close AS (SELECT DISTINCT s.key AS a, t.key AS b FROM x_misspelt s JOIN targets t ON levenshtein(s.key, t.key) <= 0.13 * (len(s.key) + len(t.key)) + 1e-9
+  WHERE s.key NOT IN (SELECT key FROM targets)),
+blocks AS (SELECT a, b, a AS x, b AS y FROM close
+  UNION ALL SELECT a, b, CASE side WHEN 0 THEN substr(x, 1, i - 1) ELSE substr(x, i + k) END, CASE side WHEN 0 THEN substr(y, 1, j - 1) ELSE substr(y, j + k) END
+  FROM (SELECT *, instr(y, substr(x, i, k)) AS j FROM (SELECT *, CAST(ceil(found / 1000) AS INTEGER) AS k, CAST(ceil(found / 1000) * 1000 - found AS INTEGER) AS i
+    FROM (SELECT *, {_LONGEST} AS found FROM blocks) WHERE found > 0)) CROSS JOIN (VALUES (0), (1)) sides(side)),
+ratios AS (SELECT a, b, 2.0 * sum(k) / (len(a) + len(b)) AS ratio
+  FROM (SELECT a, b, coalesce(CAST(ceil({_LONGEST} / 1000) AS INTEGER), 0) AS k FROM blocks) GROUP BY a, b),
+best AS (SELECT a, b, ratio FROM ratios WHERE ratio >= 0.87 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) = 1)
+SELECT s.name, coalesce(e.target, t.target) AS target, CASE WHEN e.target IS NULL THEN round(best.ratio, 3) END AS score,
+  CASE WHEN e.target IS NOT NULL THEN 'exact' WHEN t.target IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS status
+FROM x_misspelt s LEFT JOIN targets e ON e.key = s.key LEFT JOIN best ON best.a = s.key LEFT JOIN targets t ON t.key = best.b
+""")
 def map_names(spark, sf):
     """Spellings with a letter changed or dropped, mapped back by similarity."""
     p = w.read(spark, sf, "part").select("p_partkey", F.concat_ws(

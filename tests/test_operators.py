@@ -149,6 +149,29 @@ def test_similarity_mapping_matches_brute_force(spark):
         assert got[name] == want, name
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.87])
+def test_similarity_mapping_of_short_names(spark, threshold):
+    from difflib import SequenceMatcher
+    rng = np.random.default_rng(8)
+    some = lambda n, low: sorted({"".join(rng.choice(list("aab "), rng.integers(low, 8))).strip() for _ in range(n)})
+    target, source = some(40, 1), some(60, 0)
+    frame = lambda xs: spark.createDataFrame([(x, x) for x in xs], "name string, key string")
+    got = {r.name: (r.target, r.score) for r in matching.map_names(frame(source), frame(target), threshold=threshold).collect()}
+    for name in set(source) - set(target):
+        ranked = sorted((-SequenceMatcher(None, name, t).ratio(), t) for t in target if t and name)
+        want = (ranked[0][1], round(-ranked[0][0], 3)) if ranked and -ranked[0][0] >= threshold else (None, None)
+        assert got[name] == want, name
+
+
+def test_matching_ratio_equals_recursive_blocks(spark):
+    from difflib import SequenceMatcher
+    rng = np.random.default_rng(1)
+    some = lambda: "".join(rng.choice(list("abcé "), rng.integers(0, 14)))
+    rows = [(some(), some()) for _ in range(500)] + [(None, "a")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", names.matching_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [r.r for r in got] == pytest.approx([None if r.a is None else SequenceMatcher(None, r.a, r.b).ratio() for r in got])
+
+
 def test_date_spellings(spark):
     rows = spark.createDataFrame([("2026-08-21",), ("2026-08-21 00:00:00",), ("21/08/2026",)], "t string")
     bad = quality.date_problems(rows, "t", dates.iso_day(F.col("t"))).first()
