@@ -21,10 +21,8 @@ BANDS, ROWS = 16, 3
 DF_BITS = 18
 #: Members up to which a bucket's pairs of different classes are all compared in one task, and of a tile of larger ones.
 SMALL = 384
-#: Members up to which tiles are the cheaper way: a tiled member is sent n / SMALL times, a split one to half of the bands on average.
+#: Members up to which tiles are the cheaper way: a tiled member is sent n / SMALL times; those of larger buckets meet by their rarest shingles.
 TILED = SMALL * BANDS // 2
-#: Times that a large bucket is split by the signatures of later bands.
-SPLITS = 1
 SHINGLES_AT_ONCE = 1 << 16
 CHARS_AT_ONCE = 500_000
 STEPS = 1 << 16
@@ -72,9 +70,25 @@ class Shingles:
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes, ascending, and their weights."""
+        distinct, unit, counts = self.units(words)
+        return distinct, counts * unit
+
+    def rarest(self, words: np.ndarray, least: float) -> np.ndarray:
+        """The shingles with the heaviest words, until what is left of the text's weight is under ``least`` of it.
+
+        The order (weight of one occurrence, then hash) is the same in every text. Texts of ``least`` similarity share at
+        least that part of the heavier one's weight, so the lists of two such texts have a shingle in common.
+        """
+        distinct, unit, counts = self.units(words)
+        order = np.lexsort((distinct, -unit))
+        taken = np.cumsum((counts * unit)[order])
+        return distinct[order][:np.searchsorted(taken, taken[-1] * (1 - least + 1e-6), side="right") + 1] if len(taken) else distinct
+
+    def units(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingle hashes, ascending, the weight of one occurrence, and the occurrences."""
         n = min(WORDS, len(words))
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0)
+            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
         m = len(words) - n + 1
         value = self.idf[(words >> np.uint64(64 - DF_BITS)).astype(np.int64)]
         hashed, weight = np.zeros(m, np.uint64), np.zeros(m)
@@ -83,7 +97,7 @@ class Shingles:
             hashed ^= hashed >> np.uint64(27)
             weight += value[i:m + i]
         distinct, first, counts = np.unique(mixed(hashed), return_index=True, return_counts=True)
-        return distinct, counts * weight[first] / n
+        return distinct, weight[first] / n, counts
 
 
 class Sampler:
@@ -234,7 +248,7 @@ def classed(members: DataFrame, roots: DataFrame) -> DataFrame:
 def pivot_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs of each bucket's first member with all members of other classes, and the members without those pivots.
 
-    ``members``: (bucket, last, digest, weight, class). Pairs whose weights alone rule the similarity out are left out.
+    ``members``: (bucket, digest, weight, class). Pairs whose weights alone rule the similarity out are left out.
     """
     first = Window.partitionBy("bucket").orderBy("digest")
     heads = members.withColumn("rank", F.row_number().over(first)).where("rank = 1")
@@ -287,12 +301,23 @@ def bucket_links(members: DataFrame, texts: DataFrame, shared, least: float) ->
     return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a string, b string")
 
 
-def split(members: DataFrame, one: DataFrame) -> DataFrame:
-    """Large buckets parted by the signatures of the bands after their last one."""
-    bands = one.select("digest", F.posexplode("bands").alias("band", "signature"))
-    found = members.join(bands, "digest").where("band > last").select(
-        F.xxhash64("bucket", "band", "signature").alias("bucket"), F.col("band").alias("last"), "digest", "weight")
-    found = stage(found, "near-parts")
+def rare_buckets(members: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:
+    """(bucket, digest, weight): large buckets' members put together anew, by each of their rarest shingles that several have.
+
+    Two members of ``least`` similarity share one of these shingles, so no pair is lost.
+    """
+    def step(batches):
+        made = Shingles(shared.value)
+        for batch in batches:
+            digests, all_texts, weights = (batch.column(i) for i in range(3))
+            for a, b in slices(all_texts.to_pylist(), CHARS_AT_ONCE):
+                held = [made.rarest(w, least) for w in made.words(all_texts[a:b].to_pylist())]
+                at = pa.array(np.repeat(np.arange(a, b), [len(h) for h in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), digests.take(at), weights.take(at)],
+                                                 names=["bucket", "digest", "weight"])
+
+    wanted = members.select("digest", "weight").dropDuplicates(["digest"])
+    found = stage(map_batches(texts.join(wanted, "digest").select("digest", "text", "weight"), step, "bucket bigint, digest string, weight double"), "near-rare")
     several = stage(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-several")
     return found.join(several, "bucket")
 
@@ -307,9 +332,9 @@ def classes(rows: DataFrame, key: str = KEY, text: str = TEXT, least: float = SI
 
     Equal texts meet once, by digest. Buckets (band, signature) of different texts are compared in rounds until none holds
     two classes with a pair left: each first through one pivot, which links what is really alike, then small ones
-    whole in one task and middling ones tile by tile; what is left of larger ones is parted by a second band first. So no large
-    bucket's pairs are ever spread out whole. A pair of similarity s shares one of 16 bands with probability 1 - (1 - s**3)**16, 0.99999 at 0.8;
-    and two of them, which it needs in a bucket of more than ``TILED``, with 0.9998.
+    whole in one task and middling ones tile by tile; what is left of larger ones meets in buckets of its rarest shingles, which lose no
+    pair. So no large bucket's pairs are ever spread out whole, and a pair has the same chance in a bucket of any size:
+    similarity s shares one of 16 bands with probability 1 - (1 - s**3)**16, 0.99999 at 0.8.
     """
     spark = rows.sparkSession
     texts = keyed(rows, key, text)
@@ -317,7 +342,7 @@ def classes(rows: DataFrame, key: str = KEY, text: str = TEXT, least: float = SI
     marks = stage(signed(texts, shared), "near-marks")
     one = stage(marks.groupBy("digest").agg(F.min("key").alias("least_key"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-texts")
     spread = one.select("digest", "weight", F.posexplode("bands").alias("band", "signature")).select(
-        F.xxhash64("band", "signature").alias("bucket"), F.col("band").alias("last"), "digest", "weight")
+        F.xxhash64("band", "signature").alias("bucket"), "digest", "weight")
     several = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-several")
     members = stage(spread.join(several, "bucket"), "near-members")
     wanted = stage(members.select("digest").distinct(), "near-wanted")
@@ -334,9 +359,10 @@ def classes(rows: DataFrame, key: str = KEY, text: str = TEXT, least: float = SI
         if rounds == 0:  # one pivot for each: what is really alike is linked, and most buckets are done
             pairs, members = pivot_pairs(now.drop("n"))
             found = verified(stage(pairs, "near-pairs"), bodies, shared, least)
-        elif rounds <= SPLITS:
+        elif rounds == 1:
             found = bucket_links(now.where(F.col("n") <= TILED), bodies, shared, least)
-            members = split(now.where(F.col("n") > TILED).drop("class", "n"), one)
+            large = now.where(F.col("n") > TILED).drop("class", "n")
+            members = rare_buckets(large, bodies, shared, least) if large.head(1) else large
         else:
             found, members = bucket_links(now, bodies, shared, least), now.limit(0).drop("class", "n")
         found, members, rounds = stage(found, "near-links"), stage(members, "near-rest"), rounds + 1

@@ -300,7 +300,7 @@ def test_context_trees_equal_brute_force(spark, rows, none):
     assert ctw.score(none.selectExpr("*", "true AS train"), "train").count() == 0
 
 
-@pytest.mark.parametrize("small, tiled", [(384, 3072), (3, 1000), (2, 2)])  # whole buckets, tiles, parted buckets
+@pytest.mark.parametrize("small, tiled", [(384, 3072), (3, 1000), (2, 2)])  # whole buckets, tiles, rare shingles
 def test_classes_equal_brute_force(spark, rows, none, monkeypatch, small, tiled):
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "TILED", tiled)
@@ -319,7 +319,7 @@ def test_classes_equal_brute_force(spark, rows, none, monkeypatch, small, tiled)
     got = by_text(None, near_dup.classes(frame), "class_id")
     made = near_dup.Shingles(near_dup.inverse_frequencies(keyed(frame, "match_id", "text")))
     held = {k: made.of(w) for (k, _), w in zip(data, made.words([t or "" for _, t in data]), strict=True)}
-    top = {k: k for k in held}
+    top, data_of = {k: k for k in held}, {k: t or "" for k, t in data}
 
     def root(k):
         return k if top[k] == k else root(top[k])
@@ -329,6 +329,11 @@ def test_classes_equal_brute_force(spark, rows, none, monkeypatch, small, tiled)
             if i < j and near_dup.similarity(held[i], held[j]) >= 0.8:
                 top[max(root(i), root(j))] = min(root(i), root(j))
     assert got == {k: (root(k),) for k in held}
+    for i in held:  # texts this alike always share one of their rarest shingles
+        for j in held:
+            if i < j and len(held[i][0]) and near_dup.similarity(held[i], held[j]) >= 0.8:
+                a, b = (set(made.rarest(made.words([data_of[k]])[0], 0.8).tolist()) for k in (i, j))
+                assert a & b and len(a) < max(3, 0.35 * len(held[i][0]))
     kept = [r["match_id"] for r in near_dup.keep_one(frame).collect()]
     assert sorted(kept) == sorted({root(k) for k in held})
     assert near_dup.classes(rows).count() == len(TEXTS) + 2 and near_dup.classes(none).count() == 0
