@@ -333,6 +333,13 @@ def price_fixtures(history: DataFrame, fixtures: DataFrame, calibrators: DataFra
         "edge": prices.ev_edge(F.col("prob"), F.col("odds"))})
 
 
+def filled_shots(matches: DataFrame) -> DataFrame:
+    """Matches with goals in place of missing shot counts, as ``shots_home`` and ``shots_away``."""
+    return matches.withColumns({
+        "shots_home": F.coalesce(F.col("home_sot"), F.col("home_goals")),
+        "shots_away": F.coalesce(F.col("away_sot"), F.col("away_goals"))})
+
+
 def likelihood_means(matches: DataFrame, schedule: DataFrame, weight: float = config.SIGNAL_WEIGHT,
                      store=lambda df, name: df) -> DataFrame:
     """Backtest means from the likelihood fit, blended with shots; unknown teams drop out.
@@ -344,11 +351,9 @@ def likelihood_means(matches: DataFrame, schedule: DataFrame, weight: float = co
     distinct = rows.select("competition", "fit_date").distinct()
     order = Window.partitionBy("competition").orderBy("fit_date")
     fits_table = store(distinct.withColumn("fit_no", F.row_number().over(order)), "fits")
-    filled = matches.withColumns({
-        "shots_home": F.coalesce(F.col("home_sot"), F.col("home_goals")),
-        "shots_away": F.coalesce(F.col("away_sot"), F.col("away_goals"))})
-    goals = fit_strengths(filled, fits_table)
-    shots = fit_strengths(filled, fits_table, "shots_home", "shots_away")
+    filled = filled_shots(matches)
+    goals = store(fit_strengths(filled, fits_table), "goals")
+    shots = store(fit_strengths(filled, fits_table, "shots_home", "shots_away"), "shots")
     numbered = rows.join(fits_table, ["competition", "fit_date"])
     out = blended_means(numbered, goals, shots, None, weight, min_shots=0)
     return out.filter(~F.col("new_team")).select(

@@ -22,8 +22,30 @@ def fits_table(spark, sf):
 
 def predictions(spark, sf):
     """The walk-forward predictions table: the expensive artifact, stored once."""
-    return w._stored(spark, sf, "predictions",
-                     lambda s, d: model.walk_forward(w.matches(s, d), store=stage))
+    def store(df, name):
+        return w._stored(spark, sf, f"walk_{name}", lambda *_: df)
+
+    return w._stored(spark, sf, "predictions", lambda s, d: model.walk_forward(w.matches(s, d), store=store))
+
+
+def walk_table(spark, sf, name):
+    """What the walk-forward stored on its way: its ``fits`` calendar, or the fits of ``goals``, ``shots``, ``corners``."""
+    predictions(spark, sf)
+    return w._stored(spark, sf, f"walk_{name}", None)
+
+
+def likelihood_means(spark, sf):
+    """The likelihood backtest's means, stored once, as are the fits they come from."""
+    def store(df, name):
+        return w._stored(spark, sf, f"likelihood_{name}", lambda *_: df)
+
+    return w._stored(spark, sf, "likelihood_means",
+                     lambda s, d: model.likelihood_means(qb.dataset(s, d), qb.schedule(s, d), store=store))
+
+
+def likelihood_table(spark, sf, name):
+    likelihood_means(spark, sf)
+    return w._stored(spark, sf, f"likelihood_{name}", None)
 
 
 def graded_predictions(spark, sf):
@@ -222,17 +244,25 @@ def implied_optimum(spark, sf):
         F.count(F.lit(1)).alias("lines"), F.sum("off").cast("long").alias("off"))
 
 
-@query("priced_fixtures", "R13 J1 J4 S20 J13")
-def priced_fixtures(spark, sf):
-    """Upcoming fixtures priced end to end: fits, names, line fit, fusion, calibrators."""
+def card(spark, sf):
+    """The card of the upcoming fixtures, stored once."""
+    return w._stored(spark, sf, "card", build_card)
+
+
+def build_card(spark, sf):
     day = F.lit(w.CARD_DAY).cast("date")
     m = w.matches(spark, sf)
     upcoming = readers.fixtures(w.quotes(spark, sf), F.expr(f"TIMESTAMP '{w.CARD_NOW}'"),
                                 tiebreak=("match_id",))
     # Learned on what the walk-forward said of earlier matches, which is what is calibrated here.
     learned = calibration.fit(graded_predictions(spark, sf).filter(F.col("date") < day), ["group"])
-    out = model.price_fixtures(m.filter(F.col("date") < day), upcoming, learned)
-    return rounded(out.select("match_id", "competition", "match", "key", "group", "prob_raw",
+    return model.price_fixtures(m.filter(F.col("date") < day), upcoming, learned)
+
+
+@query("priced_fixtures", "R13 J1 J4 S20 J13")
+def priced_fixtures(spark, sf):
+    """Upcoming fixtures priced end to end: fits, names, line fit, fusion, calibrators."""
+    return rounded(card(spark, sf).select("match_id", "competition", "match", "key", "group", "prob_raw",
                               "prob", "fair_odds", "odds", "edge", "new_team",
                               "implied_resid"), 5)
 
@@ -240,8 +270,6 @@ def priced_fixtures(spark, sf):
 @query("likelihood_backtest", "R14 R3")
 def likelihood_backtest(spark, sf):
     """The backtest with likelihood strengths blended with shots, by market."""
-    data = qb.dataset(spark, sf)
-    means = stage(model.likelihood_means(data, qb.schedule(spark, sf), store=stage), "means")
-    priced = backtest.model_probabilities(data, means, "rho")
+    priced = backtest.model_probabilities(qb.dataset(spark, sf), likelihood_means(spark, sf), "rho")
     bets = stage(backtest.qualifying(backtest.all_selections(priced)), "bets")
     return rounded(backtest.with_interval(bets, ["market"]), 4)

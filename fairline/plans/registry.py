@@ -79,7 +79,7 @@ def query(name: str, covers: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     from fairline.plans import (  # noqa: F401  (import registers the queries)
         queries_backtest,
-        queries_card, queries_ledger, queries_loading, queries_model,
+        queries_card, queries_certificates, queries_ledger, queries_loading, queries_model,
         queries_pricing, queries_scoring)
     return QUERIES
 
