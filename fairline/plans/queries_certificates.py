@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from fairline.plans import certificates as c, model, queries_backtest as qb, queries_model as qm
 from fairline.plans.registry import cte, query
-from fairline.session import stage
 from fairline.sources import warehouse as w
 from fairline.sources.sinks import rounded
 
